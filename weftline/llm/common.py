@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,19 +120,16 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def slot_filter(ids: DataFrame, column: str) -> bytes:
-    """A bitmap of FILTER_BITS bits with the hashed ids set; at most 1 MiB reaches the driver.
+def slot_filter(rows: DataFrame) -> bytes:
+    """A bitmap with the column ``slot`` of the rows set; at most 1 MiB reaches the driver.
 
-    It only saves work: an id that is not in the table may be let through.
+    It only saves work: a row that isn't wanted may share a slot and be let through.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    words = (
-        ids.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    words = rows.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")
     )
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.collect():
+    for row in words.toLocalIterator():
         out[row.word] = row.bits
     return out.tobytes()
 
@@ -144,7 +141,7 @@ def passes(bits: bytes, slots: np.ndarray) -> np.ndarray:
 
 
 def slot_of(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("_slot")
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("slot")
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -193,11 +190,6 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
         held = after
 
 
-def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with a generator over batches."""
-    return df.mapInArrow(make, schema)
-
-
 def take(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     col = table.column(column)
     if isinstance(col, pa.ChunkedArray):

@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.bpe_chunks import encode_digest
+
+    return encode_digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.token_counts import count_tokens
 
@@ -24,7 +30,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_token_counts": op8_token_counts}
+    return {"op6_bpe_round_trip": op6_bpe_round_trip, "op8_token_counts": op8_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
