@@ -16,7 +16,7 @@ from weftline.llm.bpe import encoder, read_tokenizer
 from weftline.llm.common import by_bytes, pack, partitions, take, texts_of, unpack
 
 #: Characters of text in a block, and pre-tokens that a task remembers.
-BLOCK, REMEMBER = 24 << 20, 1_000_000
+BLOCK, REMEMBER = 8 << 20, 300_000
 _ROW = "block string, part int, n int, data binary, counts binary, pairs binary"
 
 
