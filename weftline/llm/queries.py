@@ -17,6 +17,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.bpe_chunks import encode_digest
 
@@ -30,7 +42,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe_round_trip": op6_bpe_round_trip, "op8_token_counts": op8_token_counts}
+    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
