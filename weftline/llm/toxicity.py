@@ -62,7 +62,7 @@ class Features:
 class Ftrl:
     """FTRL-proximal: a learning rate for each coordinate, and L1 that leaves most weights at 0."""
 
-    def __init__(self, alpha=0.5, beta=1.0, l1=0.7, l2=0.5):
+    def __init__(self, alpha=0.5, beta=1.0, l1=8.0, l2=0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
@@ -80,7 +80,7 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, target="toxic", most=16_384, rounds=4) -> np.ndarray:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, target="toxic", most=16_384, rounds=6) -> np.ndarray:
     """Weights of the features, learned from a sample of about ``most`` rows for which ``train`` holds.
 
     Features are extracted where the texts are read; one task learns from the
