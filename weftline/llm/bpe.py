@@ -1,4 +1,4 @@
-"""Byte-level BPE on executors: exact pre-tokens, exact splits of long texts, decoding."""
+"""Byte-level BPE on executors: exact pre-tokens, encoding, decoding."""
 
 from __future__ import annotations
 
@@ -11,10 +11,8 @@ import regex
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Between these two no pre-token runs on, whatever stands before and after.
-_CUT = regex.compile(r"(?<=\S)(?=\s)")
-#: Characters that are encoded by one call of the library, so that its objects stay small.
-PIECE = 1 << 16
+#: Distinct pre-tokens that an encoder remembers.
+REMEMBER = 200_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -38,6 +36,8 @@ class Encoder:
         added = json.loads(source)["added_tokens"]
         self.special = [x["content"] for x in added]
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.special_ids = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        self.memory: dict[str, bytes] = {}
         to_byte = _byte_of()
         self.bytes_of: list[bytes] = [b""] * self.library.get_vocab_size()
         for token, i in self.library.get_vocab().items():
@@ -46,37 +46,37 @@ class Encoder:
         self.length_of = np.array([len(x) for x in self.bytes_of])
 
     def encode(self, text: str) -> np.ndarray:
-        """The library's ids; a long text goes in pieces cut where no pre-token crosses."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        batch: list[str] = []
-        parts: list[int] = []
-        done: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            nonlocal batch, held
-            if batch:
-                done.extend(np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(batch, add_special_tokens=False))
-            batch, held = [], 0
+        """The library's ids of a text."""
+        return np.frombuffer(self.encode_all([text])[0], "<u4")
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, as little-endian unsigned 32-bit integers.
+
+        Each distinct pre-token goes through the library once while it is remembered.
+        """
+        out = []
         for text in texts:
-            pieces = list(pieces_of(text)) if len(text) > PIECE else [text]
-            parts.append(len(pieces))
-            for piece in pieces:
-                batch.append(piece)
-                held += len(piece)
-                if held > PIECE:
-                    flush()
-        flush()
-        at = 0
-        for n in parts:
-            out.append(done[at] if n == 1 else np.concatenate(done[at : at + n]))
-            at += n
+            segments = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
+            found = self.split.findall(text) if len(segments) > 1 else []
+            parts = []
+            for k, segment in enumerate(segments):
+                tokens = self._plain(segment)
+                self._learn(tokens)
+                parts += map(self.memory.__getitem__, tokens)
+                if k < len(found):
+                    parts.append(self.special_ids[found[k]])
+            out.append(b"".join(parts))
         return out
 
+    def _learn(self, tokens: list[str]) -> None:
+        new = [t for t in set(tokens) if t not in self.memory]
+        if len(self.memory) + len(new) > REMEMBER:
+            self.memory.clear()
+            new = list(set(tokens))
+        for i in range(0, len(new), 2000):
+            found = self.library.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)
+            self.memory.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(new[i : i + 2000], found, strict=True))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the library decodes to, special tokens kept."""
         data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -111,20 +111,6 @@ class Encoder:
         return out
 
 
-def pieces_of(text: str):
-    """The text in parts of about PIECE characters, cut before white space that follows none.
-
-    No pre-token holds white space after another character, so the parts have
-    the ids of the whole. A part grows until there is such a place.
-    """
-    start = 0
-    while start < len(text):
-        cut = _CUT.search(text, start + PIECE) if len(text) - start > PIECE else None
-        end = cut.start() if cut else len(text)
-        yield text[start:end]
-        start = end
-
-
 @lru_cache(maxsize=2)
 def encoder(source: str) -> Encoder:
     """The encoder of this worker process."""

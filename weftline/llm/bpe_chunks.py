@@ -13,35 +13,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import Encoder, encoder, read_tokenizer
-from weftline.llm.common import FILTER_BITS, by_bytes, pack, passes, slot_filter, take, texts_of, unpack
+from weftline.llm.common import FILTER_BITS, by_bytes, mix, pack, passes, slot_filter, take, texts_of, unpack
 from weftline.plans.stages import Stages
 
-#: Bytes under the rolling hash, the bits of it that are 0 at a boundary, and the least and most bytes of a chunk.
-WINDOW, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
-_FACTOR = np.uint32(0x01000193)
+#: Bits of the rolling hash that are 0 at a boundary; least and most bytes of a chunk.
+MASK, LEAST, MOST = (1 << 10) - 1, 256, 8192
 _CUT = regex.compile(rb"(?<=[!-~])(?=[ \n\t\r])")
-_OUT = "doc_id long, ids binary"
+_IDS = "doc_id long, ids binary"
+_DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Ends of the chunks of UTF-8 text: where the hash of the last WINDOW bytes says so.
+def boundaries(datas: list[bytes]) -> list[list[int]]:
+    """Ends of the chunks of UTF-8 texts: where the hash of the last 8 bytes says so.
 
     A boundary depends on its neighbourhood alone, so a passage has the same
-    chunks in every document, but for those at its ends.
+    chunks in every document, but for those at its ends. The hash rolls over all
+    texts at once; it cannot reach across a start, as a chunk has LEAST bytes.
     """
-    if len(data) <= LEAST:
-        return [len(data)]
-    b = np.frombuffer(data, np.uint8)
-    h = np.zeros(len(b), np.uint32)
-    factor = np.uint32(1)
-    for k in range(WINDOW):
-        h[k:] += (b[: len(b) - k].astype(np.uint32) + np.uint32(7)) * factor
-        factor = np.uint32((int(factor) * int(_FACTOR)) & 0xFFFFFFFF)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    h ^= h >> np.uint32(12)
+    whole = b"".join(datas)
+    h = np.zeros(max(0, len(whole) - 7), np.uint64)
+    for k in range(min(8, len(h))):
+        h[k::8] = np.frombuffer(whole, "<u8", count=(len(whole) - k) // 8, offset=k)
+    at = np.flatnonzero((mix(h) >> np.uint64(20)) & np.uint64(MASK) == 0) + 8
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in datas])])
+    cuts = np.searchsorted(at, starts)
+    return [_ends(x, at[a:b] - s) for x, s, a, b in zip(datas, starts, cuts, cuts[1:], strict=False)]
+
+
+def _ends(data: bytes, candidates: np.ndarray) -> list[int]:
     ends, last = [], 0
-    for at in (np.flatnonzero((h & np.uint32(MASK)) == 0) + 1).tolist():
+    for at in candidates.tolist():
         while at - last > MOST:
             last = _character(data, last + MOST)
             ends.append(last)
@@ -52,7 +53,7 @@ def boundaries(data: bytes) -> list[int]:
     while len(data) - last > MOST:
         last = _character(data, last + MOST)
         ends.append(last)
-    return [*ends, len(data)]
+    return ends if ends and ends[-1] == len(data) else [*ends, len(data)]
 
 
 def _character(data: bytes, at: int) -> int:
@@ -62,9 +63,12 @@ def _character(data: bytes, at: int) -> int:
     return at
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, *, digest=False, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, ids binary) of every document; ids are little-endian unsigned 32-bit integers.
 
+    With ``digest``, the ids are decoded again where they were made, and the
+    result is (doc_id, n_tokens, ids_sha256, decoded_sha256).
+
     Texts are cut by content into chunks. A chunk that more than one place of
     the corpus holds is encoded once; documents that hold such chunks are put
     together from them, and where two chunks meet, the text around the place is
@@ -84,6 +88,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     stages = Stages(spark)
+    give, schema = (_digest, _DIGEST) if digest else (_ids, _IDS)
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
     keyed = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row")
@@ -94,7 +99,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     bits = spark.sparkContext.broadcast(slot_filter(chunks.join(shared, "hash", "left_semi")))
     stages.drop(chunks)
 
-    alone = keyed.mapInArrow(partial(_encode_alone, source=source, bits=bits), _OUT)
+    alone = keyed.mapInArrow(partial(_encode_alone, source=source, bits=bits, give=give), schema)
 
     texts = keyed.mapInArrow(partial(_chunk_texts, bits=bits), "hash binary, data binary")
     once = texts.groupBy("hash").agg(F.first("data").alias("data"))
@@ -102,19 +107,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     lists = keyed.mapInArrow(partial(_chunk_lists, bits=bits), "doc_id long, row long, seq int, hash binary")
     met = lists.join(encoded, "hash").select("doc_id", "row", F.struct("seq", "ids").alias("part"))
     gathered = met.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    joined = gathered.select("doc_id", "parts").mapInArrow(partial(_join_chunks, source=source), _OUT)
+    joined = gathered.select("doc_id", "parts").mapInArrow(partial(_join_chunks, source=source, give=give), schema)
     return alone.unionByName(joined)
 
 
-def encode_digest(docs: DataFrame, tokenizer: str, **columns: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes, and keeps hashes of both."""
-    source = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
-    ids = encode_documents(docs, tokenizer, **columns)
-    return ids.mapInArrow(
-        partial(_digest, source=source), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
-
-
 def decode_documents(ids: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) for rows (doc_id, ids binary)."""
     source = ids.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
@@ -128,17 +124,18 @@ def _selected(batches, bits=None, flagged=True):
             keep = passes(bits.value, take(batch, "slot"))
             batch = batch.filter(pa.array(keep if flagged else ~keep))
         texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 22):
+        for lo, hi in by_bytes(texts, 1 << 20):
             yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
-def _spans(text: str):
-    """(hash, UTF-8) of each chunk."""
-    data, start = text.encode(), 0
-    for end in boundaries(data):
-        chunk = data[start:end]
-        yield xxhash.xxh3_128_digest(chunk), chunk
-        start = end
+def _spans(texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+    """(hash, UTF-8) of each chunk of each text."""
+    datas = [t.encode() for t in texts]
+    out = []
+    for data, ends in zip(datas, boundaries(datas), strict=True):
+        chunks = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        out.append([(xxhash.xxh3_128_digest(c), c) for c in chunks])
+    return out
 
 
 def _batch(**columns):
@@ -147,21 +144,20 @@ def _batch(**columns):
 
 def _chunk_hashes(batches):
     for batch, texts in _selected(batches):
-        found = [[h for h, _ in _spans(t)] for t in texts]
+        found = [[h for h, _ in x] for x in _spans(texts)]
         slots = np.repeat(take(batch, "slot"), [len(x) for x in found])
         yield _batch(slot=pa.array(slots, pa.int64()), hash=pa.array([h for x in found for h in x], pa.binary()))
 
 
-def _encode_alone(batches, source, bits):
+def _encode_alone(batches, source, bits, give):
     enc = encoder(source.value)
     for batch, texts in _selected(batches, bits, flagged=False):
-        ids = [x.tobytes() for x in enc.encode_all(texts)]
-        yield _batch(doc_id=batch.column("doc_id"), ids=pa.array(ids, pa.binary()))
+        yield give(enc, batch.column("doc_id"), enc.encode_all(texts))
 
 
 def _chunk_texts(batches, bits):
     for _, texts in _selected(batches, bits):
-        found = dict(x for t in texts for x in _spans(t))
+        found = dict(x for spans in _spans(texts) for x in spans)
         yield _batch(
             hash=pa.array(found, pa.binary()), data=pa.array([pack(x) for x in found.values()], pa.binary())
         )
@@ -171,7 +167,7 @@ def _encode_chunks(batches, source):
     enc = encoder(source.value)
     for batch in batches:
         texts = [unpack(x).decode() for x in batch.column("data").to_pylist()]
-        ids = [_small(x) for x in enc.encode_all(texts)]
+        ids = [_small(np.frombuffer(x, "<u4")) for x in enc.encode_all(texts)]
         yield _batch(hash=batch.column("hash"), ids=pa.array(ids, pa.binary()))
 
 
@@ -182,7 +178,7 @@ def _small(ids: np.ndarray) -> bytes:
 
 def _chunk_lists(batches, bits):
     for batch, texts in _selected(batches, bits):
-        found = [[h for h, _ in _spans(t)] for t in texts]
+        found = [[h for h, _ in x] for x in _spans(texts)]
         n = [len(x) for x in found]
         at = pa.array(np.repeat(np.arange(len(n)), n))
         yield _batch(
@@ -193,7 +189,7 @@ def _chunk_lists(batches, bits):
         )
 
 
-def _join_chunks(batches, source):
+def _join_chunks(batches, source, give):
     enc = encoder(source.value)
     for batch in batches:
         for i in range(batch.num_rows):
@@ -201,7 +197,7 @@ def _join_chunks(batches, source):
             copies = sum(p["seq"] == 0 for p in parts)  # rows with this id and text
             chunks = [np.frombuffer(p["ids"], f"<u{p['ids'][0]}", offset=1).astype("<u4") for p in parts[::copies]]
             ids = assemble(enc, chunks).astype("<u4").tobytes()
-            yield _batch(doc_id=pa.array([batch.column("doc_id")[i].as_py()] * copies, pa.int64()), ids=pa.array([ids] * copies, pa.binary()))
+            yield give(enc, pa.array([batch.column("doc_id")[i].as_py()] * copies, pa.int64()), [ids] * copies)
 
 
 def _cuts(enc: Encoder, ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -250,17 +246,18 @@ def assemble(enc: Encoder, chunks: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros(0, "<u4")
 
 
-def _digest(batches, source):
-    enc = encoder(source.value)
-    for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        decoded = [hashlib.sha256(enc.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]
-        yield _batch(
-            doc_id=batch.column("doc_id"),
-            n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()),
-            ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            decoded_sha256=pa.array(decoded),
-        )
+def _ids(enc, doc_ids, ids):
+    return _batch(doc_id=doc_ids, ids=pa.array(ids, pa.binary()))
+
+
+def _digest(enc, doc_ids, ids):
+    decoded = [hashlib.sha256(enc.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]
+    return _batch(
+        doc_id=doc_ids,
+        n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()),
+        ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+        decoded_sha256=pa.array(decoded, pa.string()),
+    )
 
 
 def _decode(batches, source):

@@ -30,9 +30,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.bpe_chunks import encode_digest
+    from weftline.llm.bpe_chunks import encode_documents
 
-    return encode_digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), digest=True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,35 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts]
+    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_embedding_dedup": OP9}
+
+
+#: Pairs of equal labels by brute force; components by the least id over a transitive closure.
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), u AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v
+  WHERE x IS NOT NULL AND label IS NOT NULL AND list_dot_product(x, x) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS low FROM r GROUP BY a), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(least(c.low, vec_id), vec_id) AS component_id,
+  coalesce(least(c.low, vec_id), vec_id) = vec_id AS kept
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN d ON d.a = v.vec_id
+"""
