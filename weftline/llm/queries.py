@@ -47,13 +47,19 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=20, scale=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup]
+    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embedding_dedup": OP9}
+    return {"op9_embedding_dedup": OP9, "op10_top_k": OP10}
 
 
 #: Pairs of equal labels by brute force; components by the least id over a transitive closure.
@@ -73,3 +79,17 @@ SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(least(c.low
   coalesce(least(c.low, vec_id), vec_id) = vec_id AS kept
 FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN d ON d.a = v.vec_id
 """
+
+#: Every query against every other row.
+OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
