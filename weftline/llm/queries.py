@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.toxicity import toxicity
 
@@ -54,7 +60,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
+    found = [op1_jaccard_join, op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
     return {f.__name__: f for f in found}
 
 
