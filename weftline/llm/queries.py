@@ -23,6 +23,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.toxicity import toxicity
 
@@ -60,12 +66,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_jaccard_join, op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
+    found = [op1_jaccard_join, op2_line_dedup, op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embedding_dedup": OP9, "op10_top_k": OP10}
+    return {"op2_line_dedup": OP2, "op9_embedding_dedup": OP9, "op10_top_k": OP10}
 
 
 #: Pairs of equal labels by brute force; components by the least id over a transitive closure.
@@ -99,3 +105,28 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+#: Every shortest run of 50 words from each line on and up to each line, compared as text.
+OP2 = """
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a
+  FROM documents
+), n AS (
+  SELECT doc_id, i, a[i] AS line, len(list_filter(string_split(a[i], ' '), lambda w: w <> '')) AS w
+  FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n
+), r AS (
+  SELECT DISTINCT s.doc_id, s.i AS s, e.i AS e FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.i >= s.i
+    AND e.upto - s.upto + s.w >= 50 AND (e.upto - e.w - s.upto + s.w < 50 OR e.upto - s.upto < 50)
+), t AS (
+  SELECT r.*, array_to_string(list_slice(l.a, r.s, r.e), chr(10)) AS run FROM r JOIN l USING (doc_id)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM t
+), d AS (
+  SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, e + 1)) AS i FROM f WHERE k > 1) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(l.a) AS INTEGER) AS n_lines, CAST(coalesce(len(d.gone), 0) AS INTEGER) AS n_deleted,
+  CASE WHEN d.gone IS NULL THEN l.text ELSE array_to_string(list_filter(l.a, lambda x, i: NOT list_contains(d.gone, i)), chr(10)) END AS text
+FROM l LEFT JOIN d USING (doc_id)
+"""
