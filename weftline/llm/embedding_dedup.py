@@ -16,16 +16,17 @@ from weftline.llm.vectors import distances, k_means, matrix_of, sample_vectors
 from weftline.plans.stages import Stages
 
 #: Vectors that the codebooks are fitted on, centres of a codebook, and vectors of one cell in a task.
-SAMPLE, CENTRES, BLOCK = 8192, 48, 512
+SAMPLE, CENTRES, BLOCK = 8192, 64, 512
+#: Tables of so few vectors are searched by the exact bound; margin over the calibrated one.
+FEW, MARGIN = 2048, 1.25
 
 
 @dataclass
 class MultiIndex:
-    """Two codebooks; every pair of their centres is a cell. radius: of each centre's vectors."""
+    """Two codebooks; every pair of their centres is a cell."""
 
     first: np.ndarray
     second: np.ndarray
-    radius: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def dim(self) -> int:
@@ -35,53 +36,69 @@ class MultiIndex:
         cut = self.first.shape[1]
         return ((x[:, :cut], self.first), (x[:, cut:], self.second))
 
-    def cell(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The nearest cell, and the distances to its two centres."""
-        d = [distances(half, centres) for half, centres in self.halves(x)]
-        near = [m.argmin(1) for m in d]
-        return near[0] * len(self.second) + near[1], *(m.min(1) for m in d)
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell."""
+        first, second = (distances(half, centres).argmin(1) for half, centres in self.halves(x))
+        return first * len(self.second) + second
 
-    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the multi-sequence traversal: cells by their least distance, as far as ``reach``.
-
-        A vector of a cell is at least as far away as both its halves say: by the
-        centre's radius, and by the plane between that centre and the nearest
-        one. The halves' lists are sorted by these bounds; pairs are taken while
-        the two bounds together are within reach, so every vector within reach is
-        in a visited cell.
-        """
-        bounds = []
-        for (half, centres), radius in zip(self.halves(x), self.radius, strict=True):
+    def planes(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each half, how far a vector must move to come into each centre's cell: squared distance to the plane between."""
+        out = []
+        for half, centres in self.halves(x):
             d = distances(half, centres)
             own = d.argmin(1)
             apart = distances(centres, centres)[own]
             plane = (d**2 - d.min(1)[:, None] ** 2) / np.maximum(2 * apart, 1e-12)
             plane[np.arange(len(own)), own] = 0
-            bounds.append(np.maximum(0, np.maximum(d - radius, plane)) ** 2)
+            out.append(np.maximum(plane, 0) ** 2)
+        return out
+
+    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the multi-sequence traversal: nearest cells first, as far as ``reach``.
+
+        The lists of the two halves are sorted by how far a vector must move to
+        be in a centre's cell; pairs are taken while both moves together are
+        within reach. With the distance itself as reach, nothing can be missed.
+        """
+        bounds = self.planes(x)
         order = [np.argsort(b, axis=1, kind="stable") for b in bounds]
         a, b = (np.take_along_axis(m, o, 1) for m, o in zip(bounds, order, strict=True))
         rows, cells = [], []
         for step in range(a.shape[1]):  # along the first list, the second list as far as the sum allows
-            far = a[:, step, None] + b <= reach**2
-            if not far.any():
+            near = a[:, step, None] + b <= reach**2
+            if not near.any():
                 break
-            r, c = np.nonzero(far)
+            r, c = np.nonzero(near)
             rows.append(r)
             cells.append(order[0][r, step] * len(self.second) + order[1][r, c])
         return np.concatenate(rows), np.concatenate(cells)
 
+    def calibrated(self, unit: np.ndarray, threshold: float, recall: float) -> float:
+        """The reach within which vectors at just the threshold's cosine from those given lie, in a share ``recall`` of all."""
+        rng = np.random.default_rng(7)
+        away = rng.standard_normal(unit.shape)
+        away -= (away * unit).sum(1)[:, None] * unit
+        away /= np.maximum(np.linalg.norm(away, axis=1)[:, None], 1e-12)
+        cell = self.cell(threshold * unit + np.sqrt(1 - threshold**2) * away)
+        at = np.arange(len(unit))
+        first, second = self.planes(unit)
+        moved = np.sqrt(first[at, cell // len(self.second)] + second[at, cell % len(self.second)])
+        return float(np.quantile(moved, recall)) * MARGIN
+
 
 def near_duplicate_vectors(
-    rows: DataFrame, *, threshold=0.98, id_col="vec_id", vector_col="embedding", label_col="label"
+    rows: DataFrame, *, threshold=0.98, recall=0.9999, id_col="vec_id", vector_col="embedding", label_col="label"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link if their labels are equal and not null and their cosine, in double
     precision, is at least ``threshold``. Equal vectors of one label are one
     class, which is searched once; n_links still counts every row. Each class
-    visits the cells of the index in which a link can be (see
-    ``MultiIndex.visits``; recall is 1 by construction) and every pair met is
-    verified. A cell with many vectors is dealt out in blocks, and tasks return
+    visits cells, nearest first, until the share ``recall`` of all links must
+    have been met: as far as vectors at just the threshold from the sample lie,
+    and MARGIN further; in tables of at most FEW vectors as far as any link can
+    lie. Of two cells the greater is visited from the lesser, so a pair is met
+    once, and every pair met is verified in double precision. A cell with many vectors is dealt out in blocks, and tasks return
     counts and a spanning forest in place of pairs.
 
     The codebooks are fitted on a sample of about SAMPLE vectors; all rows are
@@ -106,36 +123,27 @@ def near_duplicate_vectors(
     index = MultiIndex(k_means(unit[:, :cut], CENTRES), k_means(unit[:, cut:], CENTRES)) if len(unit) else MultiIndex(unit, unit)
     held = spark.sparkContext.broadcast(index)
 
-    keyed = stages.write(
-        source.mapInArrow(partial(_cells, index=held), "vec_id long, label string, key binary, unit binary, cell int, d1 double, d2 double")
-    )
+    keyed = stages.write(source.mapInArrow(partial(_cells, index=held), "vec_id long, label string, key binary, data binary, cell int"))
     classes = (
         keyed.where("key is not null")
         .groupBy("label", "key")
-        .agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"),
-            F.first("cell").alias("cell"), F.max("d1").alias("d1"), F.max("d2").alias("d2"),
-        )
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("data").alias("data"), F.first("cell").alias("cell"))
         .withColumn("cls", F.xxhash64("label", "key"))
-    )
+    )
     classes = stages.write(classes)
-    if len(unit):
-        index.radius = (
-            _radius(classes, F.floor(F.col("cell") / len(index.second)), "d1", len(index.first)),
-            _radius(classes, F.col("cell") % len(index.second), "d2", len(index.second)),
-        )
-    held = spark.sparkContext.broadcast(index)  # two codebooks of CENTRES vectors
+    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    if len(unit) > FEW:
+        reach = min(reach, index.calibrated(unit, threshold, recall))
 
     sizes = classes.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    reach = float(np.sqrt(2 - 2 * threshold) + 1e-9)
-    probes = classes.select("label", "cls", "rep", "n", "unit").mapInArrow(
-        partial(_visits, index=held, reach=reach), "label string, cls long, rep long, n long, unit binary, cell int"
+    probes = classes.select("label", "cls", "rep", "n", "data", "cell").mapInArrow(
+        partial(_visits, index=held, reach=reach), "label string, cls long, rep long, n long, data binary, cell int, home boolean"
     )
     mine, every = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"), F.expr("explode(sequence(0, blocks - 1))")
-    columns = ["label", "cell", "cls", "rep", "n", "unit"]
-    members = classes.join(sizes, ["label", "cell"]).select(*columns, F.lit(0).alias("kind"), mine.alias("b"), every.alias("p"))
+    columns = ["label", "cell", "cls", "rep", "n", "data"]
+    members = classes.join(sizes, ["label", "cell"]).select(*columns, F.lit(0).alias("kind"), F.lit(True).alias("home"), mine.alias("b"), every.alias("p"))
     visits = probes.join(sizes, ["label", "cell"]).select(
-        *columns, F.lit(1).alias("kind"), F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("p"), every.alias("b")
+        *columns, F.lit(1).alias("kind"), "home", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("p"), every.alias("b")
     )
     tiles = members.unionByName(visits).withColumn("tile", F.xxhash64("label", "cell", "b", "p"))
     links = stages.write(
@@ -155,63 +163,62 @@ def near_duplicate_vectors(
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _radius(classes: DataFrame, centre, column: str, centres: int) -> np.ndarray:
-    """The farthest vector of each centre: one number for each of the codebook's centres."""
-    out = np.zeros(centres)
-    for row in classes.groupBy(centre.cast("int").alias("c")).agg(F.max(column).alias("r")).collect():
-        out[row.c] = row.r
-    return out
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; no row is zero."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _binaries(x: np.ndarray) -> pa.Array:
-    return pa.array([v.tobytes() for v in x], pa.binary())
+def _units(batch) -> np.ndarray:
+    """From the bytes of the vectors after one byte that says how many bytes a component has."""
+    data = batch.column("data").to_pylist()
+    kind = data[0][0]
+    return _unit(np.frombuffer(b"".join(v[1:] for v in data), f"<f{kind}").reshape(len(data), -1))
 
 
 def _cells(batches, index):
     index = index.value
     for batch in batches:
-        n = batch.num_rows
-        usable, x = matrix_of(batch.column("x"), index.dim)
-        usable &= np.asarray(batch.column("vec_id").is_valid()) & np.asarray(batch.column("label").is_valid())
-        x = x[usable[matrix_of(batch.column("x"), index.dim)[0]]]
-        largest = np.abs(x).max(axis=1, initial=0)
-        usable[np.flatnonzero(usable)[largest == 0]] = False
-        x, largest = x[largest > 0] + 0.0, largest[largest > 0]
-        scaled = x / largest[:, None]
-        unit = scaled / np.linalg.norm(scaled, axis=1)[:, None]
-        at = np.cumsum(usable) - 1
-        pick = pa.array(np.where(usable, at, 0), mask=~usable)
-        if not len(x):
-            cell, d1, d2 = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        n, column = batch.num_rows, batch.column("x")
+        kind = np.float32 if column.type.value_type == pa.float32() else np.float64
+        usable, x = matrix_of(column, index.dim)
+        known = np.asarray(batch.column("vec_id").is_valid()) & np.asarray(batch.column("label").is_valid())
+        x = (x[known[usable]] + 0.0).astype(kind)
+        usable &= known
+        zero = ~x.any(axis=1)
+        usable[np.flatnonzero(usable)[zero]] = False
+        x = x[~zero]
+        if len(x):
+            data = [bytes([x.itemsize]) + v.tobytes() for v in x]
+            pick = pa.array(np.where(usable, np.cumsum(usable) - 1, 0), mask=~usable)
+            keys = [xxhash.xxh3_128_digest(v) for v in data]
+            made = [pa.array(keys, pa.binary()), pa.array(data, pa.binary()), pa.array(index.cell(_unit(x)), pa.int32())]
+            made = [c.take(pick) for c in made]
         else:
-            cell, d1, d2 = index.cell(unit)
-        keys = pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in x], pa.binary())
-        columns = [keys, _binaries(unit), pa.array(cell, pa.int32()), pa.array(d1), pa.array(d2)]
-        taken = [c.take(pick) if len(x) else pa.nulls(n, c.type) for c in columns]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id"), batch.column("label"), *taken], ["vec_id", "label", "key", "unit", "cell", "d1", "d2"]
-        )
-
-
-def _units(batch) -> np.ndarray:
-    data = batch.column("unit").to_pylist()
-    return np.frombuffer(b"".join(data)).reshape(len(data), -1)
+            made = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *made], ["vec_id", "label", "key", "data", "cell"])
 
 
 def _visits(batches, index, reach):
     index = index.value
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
             rows, cells = index.visits(_units(part), reach)
+            home = take(part, "cell")[rows]
+            rows, cells, home = (v[cells >= home] for v in (rows, cells, home))
             out = part.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells, pa.int32())], [*out.schema.names, "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns[:-1], pa.array(cells, pa.int32()), pa.array(cells == home)], [*out.schema.names, "home"]
+            )
 
 
 def _verify(batches, threshold):
     """Of each tile: every class that links there, the rows that it links with, and the least class it is joined to."""
     for table in whole_groups(batches, "tile"):
         tiles, kind, rep, cls, n, cell = (take(table, c) for c in ("tile", "kind", "rep", "cls", "n", "cell"))
+        home = take(table, "home")
         label, unit = np.array(table.column("label").to_pylist(), object), _units(table)
         starts = starts_of(tiles)
         found = []
@@ -222,20 +229,20 @@ def _verify(batches, threshold):
             near = unit[m:b] @ unit[a:m].T >= threshold
             if not near.any():
                 continue
-            near &= (label[m:b, None] == label[a:m]) & (cell[m:b, None] == cell[a:m]) & (cls[m:b, None] != cls[a:m])
+            near &= (label[m:b, None] == label[a:m]) & (cell[m:b, None] == cell[a:m]) & (~home[m:b, None] | (cls[m:b, None] < cls[a:m]))
             p, q = np.nonzero(near)
             if len(p):
-                found.append(_linked(cls[m + p], rep[m + p], cls[a + q], rep[a + q], n[a + q]))
+                found.append(_linked(m + p, a + q, cls, rep, n))
         if found:
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["cls", "rep", "links", "root"])
 
 
-def _linked(cls_a, rep_a, cls_b, rep_b, weight):
-    """For links a-b: (class, its id, rows that it links with as an a, least id of what it is joined to)."""
-    ids = np.unique(np.concatenate([rep_a, rep_b]))
-    root = ids[forest(np.searchsorted(ids, rep_a), np.searchsorted(ids, rep_b), len(ids))]
-    cls, at, back = np.unique(np.concatenate([cls_a, cls_b]), return_index=True, return_inverse=True)
-    rep = np.concatenate([rep_a, rep_b])[at]
-    links = np.bincount(back[: len(cls_a)], weights=weight, minlength=len(cls)).astype(np.int64)
-    return cls, rep, links, root[np.searchsorted(ids, rep)]
+def _linked(a, b, cls, rep, n):
+    """For links between rows a and b: (class, its id, rows that it links with, least id of what it is joined to)."""
+    ids = np.unique(rep[np.concatenate([a, b])])
+    root = ids[forest(np.searchsorted(ids, rep[a]), np.searchsorted(ids, rep[b]), len(ids))]
+    found, at, back = np.unique(cls[np.concatenate([a, b])], return_index=True, return_inverse=True)
+    own = rep[np.concatenate([a, b])[at]]
+    links = np.bincount(back, weights=n[np.concatenate([b, a])], minlength=len(found)).astype(np.int64)
+    return found, own, links, root[np.searchsorted(ids, own)]
