@@ -35,6 +35,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.lm_score import backoff_scores
+
+    return backoff_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import quality
 
@@ -47,6 +53,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), digest=True)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.packing import best_fit_pack
+
+    return best_fit_pack(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.token_counts import count_tokens
 
@@ -66,12 +78,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_jaccard_join, op2_line_dedup, op3_toxicity, op5_quality, op6_bpe_round_trip, op8_token_counts, op9_embedding_dedup, op10_top_k]
+    found = [
+        op1_jaccard_join, op2_line_dedup, op3_toxicity, op4_lm_scores, op5_quality,
+        op6_bpe_round_trip, op7_best_fit_packing, op8_token_counts, op9_embedding_dedup, op10_top_k,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op9_embedding_dedup": OP9, "op10_top_k": OP10}
+    return {"op2_line_dedup": OP2, "op4_lm_scores": OP4, "op9_embedding_dedup": OP9, "op10_top_k": OP10}
 
 
 #: Pairs of equal labels by brute force; components by the least id over a transitive closure.
@@ -130,3 +145,30 @@ SELECT l.doc_id, CAST(len(l.a) AS INTEGER) AS n_lines, CAST(coalesce(len(d.gone)
   CASE WHEN d.gone IS NULL THEN l.text ELSE array_to_string(list_filter(l.a, lambda x, i: NOT list_contains(d.gone, i)), chr(10)) END AS text
 FROM l LEFT JOIN d USING (doc_id)
 """
+
+#: Counts of all other documents: the whole corpus less the document's own.
+OP4 = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS a FROM documents
+), w AS (
+  SELECT doc_id, i, a[i] AS g1, CASE WHEN i > 1 THEN a[i - 1] || ' ' || a[i] END AS g2,
+    CASE WHEN i > 2 THEN a[i - 2] || ' ' || a[i - 1] || ' ' || a[i] END AS g3
+  FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM d)
+), n AS (
+  SELECT doc_id, i,
+    count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, doc_id) AS c1,
+    CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, doc_id) END AS c2,
+    CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, doc_id) END AS c3
+  FROM w
+), p AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS p2 FROM n
+), t AS (SELECT count(*) AS n FROM w), m AS (SELECT doc_id, count(*) AS own FROM w GROUP BY doc_id), s AS (
+  SELECT doc_id, own, sum(CASE
+    WHEN c3 > 0 THEN ln(c3) - ln(p2)
+    WHEN c2 > 0 THEN ln(0.4) + ln(c2) - ln(p1)
+    WHEN c1 > 0 THEN 2 * ln(0.4) + ln(c1) - ln(greatest(n - own, 1))
+    ELSE 3 * ln(0.4) - ln(greatest(n - own, 1)) END) AS score
+  FROM p JOIN m USING (doc_id), t GROUP BY doc_id, own
+)
+SELECT d.doc_id, CAST(coalesce(own, 0) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score FROM d LEFT JOIN s USING (doc_id)
+"""
