@@ -197,3 +197,16 @@ def take(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     if pa.types.is_integer(col.type) and col.null_count:
         col = pc.fill_null(col, 0)
     return col.to_numpy(zero_copy_only=False)
+
+
+def with_column(docs: DataFrame, name: str, kind: str, make, *, text_col: str) -> DataFrame:
+    """``docs`` with a column that ``make()``, called once a task, computes from a list of texts."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(compute(texts))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast(kind)).schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import texts_of
+from weftline.llm.common import texts_of, with_column
 from weftline.llm.labels import labelled_sample, part
 from weftline.plans.stages import Stages
 
@@ -134,23 +134,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, target="qu
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, score double) of every document, from its whole text; 0 where nothing was learned.
+def score_quality(docs: DataFrame, model: QualityModel, *, text_col="text", score_col="score") -> DataFrame:
+    """``docs`` with the score of every whole text; 0 where nothing was learned.
 
     A null text counts as an empty one, which is scored by its statistics like
     any other. Rows are independent: repeated rows, repeated ids and null ids
-    return as they came; further columns are ignored; an empty table gives an
-    empty result.
+    return as they came; other columns pass through, under any names but that of
+    the score; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_score, model=held), "doc_id long, score double")
+    return with_column(docs, score_col, "double", partial(_scorer, held), text_col=text_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): labels of rows with part(4) = 2 are not learned from."""
     model = fit_quality(docs, labels, part(4) != 2)
-    return score_quality(docs, model).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score_quality(rows, model).select(
         "doc_id",
         F.coalesce(part(4) == 2, F.lit(True)).alias("held_out"),
         "score",
@@ -182,8 +182,8 @@ def _raw_scores(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(model.raw(_matrix(batch)))], ["y", "raw"])
 
 
-def _score(batches, model):
-    for batch in batches:
-        texts = texts_of(batch, "text")
-        x = np.array([statistics(t) for t in texts]).reshape(-1, WIDTH)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(x))], ["doc_id", "score"])
+def _scorer(held):
+    def compute(texts):
+        return held.value.score(np.array([statistics(t) for t in texts]).reshape(-1, WIDTH))
+
+    return compute

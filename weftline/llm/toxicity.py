@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, by_bytes, mix, pack, take, texts_of, unpack
+from weftline.llm.common import WordHashes, by_bytes, mix, pack, take, texts_of, unpack, with_column
 from weftline.llm.labels import labelled_sample, part
 
 BITS = 20  # of a feature: 4 MiB of weights are broadcast, whatever the data
@@ -97,22 +97,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, target="t
     return out
 
 
-def score_toxicity(docs: DataFrame, weights: np.ndarray, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, score double) of every document, from its whole text; 0 where nothing was learned.
+def score_toxicity(docs: DataFrame, weights: np.ndarray, *, text_col="text", score_col="score") -> DataFrame:
+    """``docs`` with the score of every whole text; 0 where nothing was learned.
 
     A null text counts as an empty one, which gets the score of no features.
     Rows are independent: repeated rows, repeated ids and null ids return as
-    they came; further columns are ignored; an empty table gives an empty result.
+    they came; other columns pass through, under any names but that of the
+    score; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_score, weights=held), "doc_id long, score double")
+    return with_column(docs, score_col, "double", partial(_scorer, held), text_col=text_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): labels of rows with part(5) = 0 are not learned from."""
     weights = fit_toxicity(docs, labels, part(5) != 0)
-    return score_toxicity(docs, weights).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score_toxicity(rows, weights).select(
         "doc_id",
         F.coalesce(part(5) == 0, F.lit(True)).alias("held_out"),
         "score",
@@ -151,16 +152,17 @@ def _learn(batches, rounds):
     yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(w[i])], ["feature", "weight"])
 
 
-def _score(batches, weights):
-    w, make = weights.value, Features()
+def _scorer(held):
+    w, make = held.value, Features()
     learned = bool(w.any())
-    for batch in batches:
-        texts = texts_of(batch, "text")
+
+    def compute(texts):
         total = np.full(len(texts), float(w[BIAS]))
         for lo, hi in by_bytes(texts, 1 << 20):
             at, index = make.of(texts[lo:hi])
             some = np.flatnonzero(w[index])
             found = np.unique(at[some] << BITS | index[some])  # presence counts, not frequency
             total[lo:hi] += np.bincount(found >> BITS, weights=w[found & ((1 << BITS) - 1)], minlength=hi - lo)
-        score = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if learned else np.zeros(len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35))) if learned else np.zeros(len(texts))
+
+    return compute
