@@ -1,0 +1,4 @@
+"""No operator here has unbounded input; this package is where one would live.
+
+The operators run unchanged inside ``foreachBatch`` of a structured stream.
+"""
