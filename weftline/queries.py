@@ -106,10 +106,15 @@ def src_query_pairs(spark, sf_dir):
     return text.read_query_pairs(spark, path)
 
 
-@_query(_hops("SELECT src, dst, w FROM e"))
+def _from_one(edges: DataFrame) -> DataFrame:
+    """Ids of adjacency files begin with 1."""
+    return edges.withColumns({"src": F.col("src") + 1, "dst": F.col("dst") + 1})
+
+
+@_query(_hops("SELECT src + 1 AS src, dst + 1 AS dst, w FROM e"))
 def src_adjacency(spark, sf_dir):
     """The graph as an adjacency file, written and read again."""
-    edges = order_hops(spark, sf_dir)
+    edges = _from_one(order_hops(spark, sf_dir))
     n = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
     path = f"{Stages(spark).folder}/text"
     text.write_adjacency(edges, n, _source(edges), path)
@@ -117,13 +122,13 @@ def src_adjacency(spark, sf_dir):
 
 
 _LINES = """SELECT x AS v, CASE WHEN n IS NULL THEN '0' ELSE CAST(n AS VARCHAR) || ' ' || body END AS line
-FROM (SELECT unnest(range(1, (SELECT max(greatest(src, dst)) FROM e) + 1)) AS x)
-LEFT JOIN (SELECT src, count(*) AS n, string_agg((dst - 1) || ' ' || w, ' ' ORDER BY dst) AS body FROM e GROUP BY src) ON src = x"""
+FROM (SELECT unnest(range(1, (SELECT max(greatest(src, dst)) FROM e) + 2)) AS x)
+LEFT JOIN (SELECT src + 1 AS a, count(*) AS n, string_agg(dst || ' ' || w, ' ' ORDER BY dst) AS body FROM e GROUP BY src) ON a = x"""
 
 
 @_query(_hops(_LINES))
 def sink_adjacency(spark, sf_dir):
-    edges = order_hops(spark, sf_dir)
+    edges = _from_one(order_hops(spark, sf_dir))
     return text.adjacency_lines(edges, edges.agg(F.max(F.greatest("src", "dst"))).first()[0])
 
 
@@ -640,9 +645,6 @@ def literal_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pair string, g int, src long, dst long")
 
 
-_PAIR = F.col("pair")
-
-
 def _all_pairs(spark: SparkSession) -> DataFrame:
     made = gen.complete_pair(spark, 12).withColumn("pair", F.lit("complete")), gen.skew_pair(spark, 12).withColumn("pair", F.lit("skew"))
     out = literal_pairs(spark)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import pseudo
 from weftline.operators.graph import UNREACHABLE, adjacency
 
-_TOKENS = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+
+def _tokens() -> Column:
+    """What white space separates in a line."""
+    return F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
 
 
 def synth_weight(bound: int = 3):
@@ -29,7 +32,7 @@ class EdgeList:
 
 def read_edge_list(spark: SparkSession, path: str, bound: int = 3) -> EdgeList:
     """``src dst [w]`` lines. Lines that begin with % or # are skipped, self loops dropped, a missing weight made up."""
-    lines = spark.read.text(path).where(~F.col("value").rlike("^[%#]") & (F.trim("value") != "")).withColumn("t", _TOKENS)
+    lines = spark.read.text(path).where(~F.col("value").rlike("^[%#]") & (F.trim("value") != "")).withColumn("t", _tokens())
     numbers = F.forall("t", lambda x: x.rlike(r"^-?\d+$"))
     good = F.size("t").isin(2, 3) & numbers
     rows = lines.where(good).select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"), F.get("t", F.lit(2)).cast("long").alias("w"))
@@ -39,7 +42,7 @@ def read_edge_list(spark: SparkSession, path: str, bound: int = 3) -> EdgeList:
 
 def read_unweighted(spark: SparkSession, path: str) -> DataFrame:
     """Edges (src, dst, w = 1) from a stream of tokens, two an edge, within a line."""
-    tokens = spark.read.text(path).where(F.trim("value") != "").select(_TOKENS.alias("t"))
+    tokens = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"))
     pairs = tokens.select("t", F.explode(F.sequence(F.lit(0), (F.size("t") / 2).cast("int") - 1)).alias("i")).where("size(t) > 1")
     return pairs.select(F.col("t")[F.col("i") * 2].cast("long").alias("src"), F.col("t")[F.col("i") * 2 + 1].cast("long").alias("dst"), F.lit(1).cast("long").alias("w"))
 
@@ -48,7 +51,7 @@ def read_query_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(qid, src, dst): a pair a line, numbered by place in the file."""
     from weftline.operators.ordering import rank
 
-    rows = spark.read.text(path).where(F.trim("value") != "").select(_TOKENS.alias("t"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"), F.monotonically_increasing_id().alias("at"))
     rows = rows.select("at", F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"))
     return rank(rows, F.col("at"), name="qid", start=0).select("qid", "src", "dst")
 
@@ -66,7 +69,7 @@ def read_adjacency(spark: SparkSession, path: str) -> AdjacencyFile:
     """Header ``V s`` and then, for each vertex in order, ``deg (neighbour weight)*``; ids in the file begin with 0."""
     from weftline.operators.ordering import rank
 
-    lines = spark.read.text(path).where(F.trim("value") != "").select(_TOKENS.alias("t"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"), F.monotonically_increasing_id().alias("at"))
     lines = rank(lines, F.col("at"), name="v", start=0)  # the header is line 0, vertex i is line i
     head = lines.where("v = 0").first()
     if head is None:
