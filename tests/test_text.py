@@ -1,0 +1,59 @@
+import os
+from pathlib import Path
+
+import pytest
+
+from weftline.operators import graph as g
+from weftline.operators import paths
+from weftline.sources import text
+
+#: A folder with graphs NAME.in and the distances *_NAME.out that an independent program found; none by default.
+GOLDEN = os.environ.get("WEFTLINE_GOLDEN")
+LINES = "# comment\n% comment\n0 1 4\n0 2 1\n2 1 2\n1 1 9\n1 3\nbad line with five tokens\n"
+
+
+def test_edge_list(spark, tmp_path):
+    (tmp_path / "e.txt").write_text(LINES)
+    found = text.read_edge_list(spark, str(tmp_path / "e.txt"))
+    edges = {(r.src, r.dst): r.w for r in found.edges.collect()}
+    assert {k: edges[k] for k in ((0, 1), (0, 2), (2, 1))} == {(0, 1): 4, (0, 2): 1, (2, 1): 2}
+    assert set(edges) == {(0, 1), (0, 2), (2, 1), (1, 3)} and 1 <= edges[1, 3] <= 3
+    assert [r.line for r in found.rejects.collect()] == ["bad line with five tokens"]
+
+
+def test_pairs_and_unweighted(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("3 4\n1 2\n")
+    assert [tuple(r) for r in text.read_query_pairs(spark, str(tmp_path / "q.txt")).orderBy("qid").collect()] == [(0, 3, 4), (1, 1, 2)]
+    assert {tuple(r) for r in text.read_unweighted(spark, str(tmp_path / "q.txt")).collect()} == {(3, 4, 1), (1, 2, 1)}
+
+
+def test_adjacency_round_trip(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, 5), (2, 1, 5), (2, 4, 7)], "src long, dst long, w long")
+    text.write_adjacency(edges, 4, 2, str(tmp_path / "a"))
+    back = text.read_adjacency(spark, str(tmp_path / "a"))
+    assert (back.vertices, back.source) == (4, 2)
+    assert {tuple(r) for r in back.edges.collect()} == {(1, 2, 5), (2, 1, 5), (2, 4, 7)}
+
+
+def test_result_lines(spark, tmp_path):
+    d = spark.createDataFrame([(2, None), (1, 0)], "v long, d long")
+    assert [r.line for r in text.distance_lines(d).orderBy("v").collect()] == ["1 0", "2 10000000"]
+    p = spark.createDataFrame([(0, 1, 4, 8, [1, 3, 4]), (1, 4, 1, None, [])], "qid long, src long, dst long, distance long, path array<long>")
+    assert [r.line for r in text.path_lines(p).orderBy("qid").collect()] == ["1->4, 8, 1;3;4;", "4->1, 10000000, "]
+    text.write_distances(d, str(tmp_path / "d"))
+    text.write_paths(p, str(tmp_path / "p"))
+    text.write_ranks(spark.createDataFrame([(1, 0.15)], "v long, pr double"), 3, str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["1 0.150000", "3"]
+
+
+@pytest.mark.skipif(not GOLDEN, reason="no golden files are named")
+@pytest.mark.parametrize("local", [None, 0])
+def test_golden_distances(spark, local):
+    sources = sorted(Path(GOLDEN).rglob("*.in"), key=lambda p: p.stat().st_size)
+    for source in sources if local is None else sources[:1]:
+        golden = next(Path(GOLDEN).rglob(f"*t_{source.stem}.out"))
+        graph = text.read_adjacency(spark, str(source))
+        assert graph.vertices == int(source.stem) and g.symmetrize(graph.edges).count() == graph.edges.count()
+        want = dict(tuple(map(int, line.split())) for line in golden.read_text().split("\n") if len(line.split()) == 2)
+        got = {r.v: r.d for r in paths.sssp(graph.edges, graph.source, local_edges=local).collect()}
+        assert got == want

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from weftline.plans.stages import Stages
 
@@ -44,32 +45,30 @@ class _Ranges:
         self.keys = [F.col(n) for n in names]
         self.names = names
         self.rows = Stages(spark).write(keyed.repartitionByRange(n, *self.keys).withColumn("_range", F.spark_partition_id()))
+        self.spark = spark
         self.window = Window.partitionBy("_range").orderBy(*self.keys)
 
 
 def rank(rows: DataFrame, *keys: Column, name="rank", start=1) -> DataFrame:
     """Rows with their place in the order of the keys, which must tell all rows apart."""
     dealt = _Ranges(rows, keys)
-    before, total = {}, start
+    before, total = [], start
     for r in dealt.rows.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
-        before[r["_range"]] = total
+        before.append((r["_range"], total))
         total += r["count"]
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    place = F.row_number().over(dealt.window) - 1 + offset
-    return dealt.rows.withColumn(name, place.cast("long")).drop("_range", *dealt.names)
+    offsets = F.broadcast(dealt.spark.createDataFrame(before, "_range int, _before long"))  # as many rows
+    place = F.row_number().over(dealt.window) - 1 + F.col("_before")
+    return dealt.rows.join(offsets, "_range").withColumn(name, place.cast("long")).drop("_range", "_before", *dealt.names)
 
 
 def lead(rows: DataFrame, value: str, *keys: Column, name="next") -> DataFrame:
     """Rows with the next row's value in the order of the keys; null in the last row."""
     dealt = _Ranges(rows, keys)
     firsts = dealt.rows.groupBy("_range").agg(F.min_by(value, F.struct(*dealt.names)).alias("v")).orderBy("_range").collect()
-    following = {a["_range"]: b["v"] for a, b in zip(firsts, firsts[1:], strict=False)}
     kind = dealt.rows.schema[value].dataType
-    after = F.lit(None).cast(kind)
-    if following:
-        after = F.element_at(F.create_map(*[F.lit(x) for kv in following.items() for x in kv]), F.col("_range")).cast(kind)
+    after = [(a["_range"], b["v"]) for a, b in zip(firsts, firsts[1:], strict=False)]
+    schema = StructType([StructField("_range", IntegerType()), StructField("_after", kind)])
+    first_after = F.broadcast(dealt.spark.createDataFrame(after, schema))  # a row for each range but the last
     last = F.row_number().over(Window.partitionBy("_range").orderBy(*[k.desc() for k in dealt.keys])) == 1
-    inside = F.lead(value).over(dealt.window)
-    return dealt.rows.withColumn(name, F.when(last, after).otherwise(inside)).drop("_range", *dealt.names)
+    out = dealt.rows.withColumns({name: F.lead(value).over(dealt.window), "_last": last}).join(first_after, "_range", "left")
+    return out.withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col(name))).drop("_range", "_after", "_last", *dealt.names)
