@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import Encoder, encoder, read_tokenizer
-from weftline.llm.common import FILTER_BITS, by_bytes, mix, pack, passes, slot_filter, take, texts_of, unpack
+from weftline.llm.common import FILTER_BITS, mix, pack, passes, releasing, slot_filter, take, text_parts, unpack
 from weftline.plans.stages import Stages
 
 #: Bits of the rolling hash that are 0 at a boundary; least and most bytes of a chunk.
@@ -123,9 +123,8 @@ def _selected(batches, bits=None, flagged=True):
         if bits is not None:
             keep = passes(bits.value, take(batch, "slot"))
             batch = batch.filter(pa.array(keep if flagged else ~keep))
-        texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 20):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        for lo, hi, texts in text_parts(batch, "text", 1 << 20):
+            yield batch.slice(lo, hi - lo), texts
 
 
 def _spans(texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
@@ -142,6 +141,7 @@ def _batch(**columns):
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+@releasing
 def _chunk_hashes(batches):
     for batch, texts in _selected(batches):
         found = [[h for h, _ in x] for x in _spans(texts)]
@@ -149,12 +149,14 @@ def _chunk_hashes(batches):
         yield _batch(slot=pa.array(slots, pa.int64()), hash=pa.array([h for x in found for h in x], pa.binary()))
 
 
+@releasing
 def _encode_alone(batches, source, bits, give):
     enc = encoder(source.value)
     for batch, texts in _selected(batches, bits, flagged=False):
         yield give(enc, batch.column("doc_id"), enc.encode_all(texts))
 
 
+@releasing
 def _chunk_texts(batches, bits):
     for _, texts in _selected(batches, bits):
         found = dict(x for spans in _spans(texts) for x in spans)
@@ -163,6 +165,7 @@ def _chunk_texts(batches, bits):
         )
 
 
+@releasing
 def _encode_chunks(batches, source):
     enc = encoder(source.value)
     for batch in batches:
@@ -176,6 +179,7 @@ def _small(ids: np.ndarray) -> bytes:
     return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.tobytes()
 
 
+@releasing
 def _chunk_lists(batches, bits):
     for batch, texts in _selected(batches, bits):
         found = [[h for h, _ in x] for x in _spans(texts)]
@@ -189,6 +193,7 @@ def _chunk_lists(batches, bits):
         )
 
 
+@releasing
 def _join_chunks(batches, source, give):
     enc = encoder(source.value)
     for batch in batches:
@@ -260,6 +265,7 @@ def _digest(enc, doc_ids, ids):
     )
 
 
+@releasing
 def _decode(batches, source):
     enc = encoder(source.value)
     for batch in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(make: Callable) -> Callable:
+    """A generator over batches that gives memory back at its end."""
+
+    @wraps(make)
+    def run(*args, **options):
+        yield from make(*args, **options)
+        give_back()
+
+    return run
+
+
 def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -31,21 +52,19 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    """The texts; null counts as empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+def text_parts(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of parts of a batch that hold about ``most`` bytes at most, or one text; null counts as empty.
 
-
-def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``most`` characters at most, or one text."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+    Only one part at a time is turned into Python strings.
+    """
+    values = batch.column(column)
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0)), dtype=np.int64)
+    start = 0
+    while start < len(values):
+        done = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield start, end, [x or "" for x in values.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -83,7 +102,7 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
@@ -203,10 +222,12 @@ def with_column(docs: DataFrame, name: str, kind: str, make, *, text_col: str) -
     """``docs`` with a column that ``make()``, called once a task, computes from a list of texts."""
     at = docs.columns.index(text_col)
 
+    @releasing
     def run(batches):
         compute = make()
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(compute(texts))], [*batch.schema.names, name])
+            parts = [compute(texts) for _, _, texts in text_parts(batch, at, 1 << 20)]
+            values = np.concatenate(parts) if parts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast(kind)).schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, forest, partitions, starts_of, take, whole_groups
+from weftline.llm.common import components, forest, partitions, releasing, starts_of, take, whole_groups
 from weftline.llm.vectors import distances, k_means, matrix_of, sample_vectors
 from weftline.plans.stages import Stages
 
@@ -177,6 +177,7 @@ def _units(batch) -> np.ndarray:
     return _unit(np.frombuffer(b"".join(v[1:] for v in data), f"<f{kind}").reshape(len(data), -1))
 
 
+@releasing
 def _cells(batches, index):
     index = index.value
     for batch in batches:
@@ -200,6 +201,7 @@ def _cells(batches, index):
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *made], ["vec_id", "label", "key", "data", "cell"])
 
 
+@releasing
 def _visits(batches, index, reach):
     index = index.value
     for batch in batches:
@@ -214,6 +216,7 @@ def _visits(batches, index, reach):
             )
 
 
+@releasing
 def _verify(batches, threshold):
     """Of each tile: every class that links there, the rows that it links with, and the least class it is joined to."""
     for table in whole_groups(batches, "tile"):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import (
-    WordHashes, by_bytes, components, forest, gram_hashes, mix, pack, partitions, passes, slot_filter, slot_of, starts_of, take, texts_of, unpack, whole_groups,
+    WordHashes, components, forest, gram_hashes, mix, pack, partitions, passes, releasing, slot_filter, slot_of, starts_of, take, text_parts, unpack, whole_groups,
 )
 from weftline.plans.stages import Stages
 
@@ -151,12 +151,12 @@ def _minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@releasing
 def _signatures(batches, words):
     cache = WordHashes()
     for batch in batches:
-        texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 20):
-            sets = shingle_sets(texts[lo:hi], words, cache)
+        for lo, hi, texts in text_parts(batch, "text", 1 << 20):
+            sets = shingle_sets(texts, words, cache)
             some = [s for s in sets if len(s)]
             values = iter(_minhashes(some))
             rows = [(_class(s), next(values).tobytes()) if len(s) else (None, None) for s in sets]
@@ -185,6 +185,7 @@ def _pairs(tiles: np.ndarray, mine: np.ndarray, same: np.ndarray):
             yield s + a[lo : lo + (1 << 16)], s + b[lo : lo + (1 << 16)]
 
 
+@releasing
 def _prune(batches, least):
     """Of each tile, the classes that are left with partners, as positions among these classes."""
     for table in whole_groups(batches, "tile"):
@@ -222,13 +223,13 @@ def _prune(batches, least):
         )
 
 
+@releasing
 def _shingle_rows(batches, words, bits):
     cache = WordHashes()
     for batch in batches:
         batch = batch.filter(pa.array(passes(bits.value, take(batch, "slot"))))
-        texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 20):
-            sets = [s for s in shingle_sets(texts[lo:hi], words, cache) if len(s)]
+        for _, _, texts in text_parts(batch, "text", 1 << 20):
+            sets = [s for s in shingle_sets(texts, words, cache) if len(s)]
             found = {_class(s): s for s in sets}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.binary()), pa.array([pack(s.tobytes()) for s in found.values()], pa.binary())], ["cls", "shingles"]
@@ -256,6 +257,7 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return total[a, b].astype(np.int64)
 
 
+@releasing
 def _verify(batches, threshold):
     for table in whole_groups(batches, "tile"):
         tiles, rep, n = (take(table, c) for c in ("tile", "rep", "n"))

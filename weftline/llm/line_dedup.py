@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import FILTER_BITS, by_bytes, mix, passes, slot_filter, take, texts_of
+from weftline.llm.common import FILTER_BITS, mix, passes, releasing, slot_filter, take, text_parts
 from weftline.plans.stages import Stages
 
 _LAST = (1 << 63) - 1
@@ -69,12 +69,12 @@ def dedup_lines(docs: DataFrame, *, min_words=50, id_col="doc_id", text_col="tex
     return whole.unionByName(cut.mapInArrow(drop, schema))
 
 
+@releasing
 def _runs(batches, min_words):
     """Names of the shortest runs that count, from each line on and up to each line."""
     for batch in batches:
-        texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 20):
-            lines = [[x for line in t.split("\n") if (x := line.strip())] for t in texts[lo:hi]]
+        for lo, hi, texts in text_parts(batch, "text", 1 << 20):
+            lines = [[x for line in t.split("\n") if (x := line.strip())] for t in texts]
             counts = np.array(list(map(len, lines)))
             owner = np.repeat(np.arange(hi - lo), counts)
             flat = [x for own in lines for x in own]
@@ -111,7 +111,7 @@ def run_names(names: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
         own = np.flatnonzero(level == j)
         last = start[own] + length[own] - step
         out[own] = mix(mix(names[start[own]]) + np.uint64(3) * names[last] + length[own, None].astype(np.uint64))
-        names = mix(mix(names[: len(names) - step] + np.uint64(j + 1)) + names[step:])
+        names = mix(mix(names[: max(0, len(names) - step)] + np.uint64(j + 1)) + names[step:])
     return out
 
 
@@ -121,12 +121,14 @@ def _choose(batches, slot, bits, flagged):
         yield batch.filter(pa.array(keep if flagged else ~keep))
 
 
+@releasing
 def _plain(batches, slot, bits, drop):
     for batch in _choose(batches, slot, bits, False):
         spans = pa.array([[]] * batch.num_rows, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
         yield from drop([pa.RecordBatch.from_arrays([*batch.columns[:-1], spans], [*batch.schema.names[:-1], "_line_spans"])])
 
 
+@releasing
 def _delete(batches, text, width):
     """The rows with their spans of lines deleted; the last column holds the spans."""
     for batch in batches:

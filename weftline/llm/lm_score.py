@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, by_bytes, gram_hashes, pack, partitions, starts_of, take, texts_of, unpack, whole_groups
+from weftline.llm.common import WordHashes, gram_hashes, pack, partitions, releasing, starts_of, take, text_parts, unpack, whole_groups
 from weftline.plans.stages import Stages
 
 #: Characters of text in a block.
@@ -63,9 +63,9 @@ def _blocks(batches):
     """(name, ids, texts) of bounded blocks, named by task and number."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts, ids = texts_of(batch, "text"), batch.column("doc_id")
-        for lo, hi in by_bytes(texts, BLOCK):
-            yield f"{task}-{number}", ids[lo:hi], texts[lo:hi]
+        ids = batch.column("doc_id")
+        for lo, hi, texts in text_parts(batch, "text", BLOCK):
+            yield f"{task}-{number}", ids[lo:hi], texts
             number += 1
 
 
@@ -111,6 +111,7 @@ def _distinct(grams) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([h[inside] for h, inside in grams]), return_counts=True)
 
 
+@releasing
 def _send(batches, order, parts):
     cache = WordHashes()
     for block, _, texts in _blocks(batches):
@@ -125,6 +126,7 @@ def _send(batches, order, parts):
             yield _record(rows)
 
 
+@releasing
 def _add(batches):
     """To each block the totals of the n-grams that it sent, in the order it sent them."""
     for table in whole_groups(batches, "part"):
@@ -146,6 +148,7 @@ def _add(batches):
                 yield _record([(blocks[i], int(parts[i]), b"", planes(total[np.searchsorted(names, h)]))])
 
 
+@releasing
 def _own(batches):
     for block, ids, texts in _blocks(batches):
         valid = np.asarray(ids.is_valid())
@@ -154,6 +157,7 @@ def _own(batches):
         yield _record([(block, _OWN, pack("".join(texts).encode()), pack(head))])
 
 
+@releasing
 def _sum(batches, order, alpha, parts):
     cache = WordHashes()
     own, totals = None, {}

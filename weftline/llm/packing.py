@@ -10,20 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, starts_of, take, whole_groups
+from weftline.llm.common import partitions, releasing, starts_of, take, whole_groups
 
 #: Documents of a shard, on average.
 SHARD = 4096
 
 
 def word_count(text: Column) -> Column:
-    """Words that white space separates."""
-    return F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.trim(text), r"\s+"))).otherwise(0)
+    """Words that ASCII white space separates."""
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def same_text(text: Column) -> Column:
     """Equal for texts that differ at most in case and white space."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))))
 
 
 def best_fit_pack(
@@ -128,6 +128,7 @@ def _bits(values: np.ndarray) -> list[int]:
     return [1 << int(place[i]) if times[i] > 1 else 0 for i in back]
 
 
+@releasing
 def _pack(batches, capacity):
     for table in whole_groups(batches, "shard"):
         shard, ids, length, cluster = (take(table, c) for c in ("shard", "doc_id", "length", "cluster"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import texts_of, with_column
+from weftline.llm.common import releasing, text_parts, with_column
 from weftline.llm.labels import labelled_sample, part
 from weftline.plans.stages import Stages
 
@@ -158,9 +158,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@releasing
 def _sample_statistics(batches):
     for batch in batches:
-        x = [statistics(t) for t in texts_of(batch, "text")]
+        x = [statistics(t) for _, _, texts in text_parts(batch, "text", 1 << 20) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
 
@@ -168,6 +169,7 @@ def _matrix(batch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
 
+@releasing
 def _normal_equations(batches, model):
     total = np.zeros((FEATURES + 2, FEATURES + 1))
     for batch in batches:
@@ -177,6 +179,7 @@ def _normal_equations(batches, model):
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
+@releasing
 def _raw_scores(batches, model):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(model.raw(_matrix(batch)))], ["y", "raw"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encoder, read_tokenizer
-from weftline.llm.common import by_bytes, pack, partitions, take, texts_of, unpack
+from weftline.llm.common import pack, partitions, releasing, take, text_parts, unpack
 
 #: Characters of text in a block, and pre-tokens that a task remembers.
 BLOCK, REMEMBER = 8 << 20, 300_000
@@ -54,16 +54,17 @@ def count_tokens(
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+@releasing
 def _blocks(batches, source, parts: int):
     """A row (part -1) with the block's documents and, for each part, its pre-tokens and frequencies."""
     enc = encoder(source.value)
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts, ids = texts_of(batch, "text"), batch.column("doc_id")
-        for lo, hi in by_bytes(texts, BLOCK):
+        ids = batch.column("doc_id")
+        for lo, hi, texts in text_parts(batch, "text", BLOCK):
             index: dict[str, int] = {}
             docs, words, times, base, size = [], [], [], [], []
-            for i, text in enumerate(texts[lo:hi]):
+            for i, text in enumerate(texts):
                 tokens, special = enc.pre_tokens(text)
                 found = Counter(tokens)
                 base.append(special)
@@ -112,6 +113,7 @@ def _record(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+@releasing
 def _pieces(batches, source):
     """For each block and part, the documents' sums of pieces."""
     enc = encoder(source.value)
@@ -137,6 +139,7 @@ def _pieces(batches, source):
             )
 
 
+@releasing
 def _documents(batches):
     """The documents of each block with all their sums; a block's own row comes first."""
     own = total = None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, starts_of, take, whole_groups
+from weftline.llm.common import partitions, releasing, starts_of, take, whole_groups
 from weftline.llm.vectors import distances, k_means, matrix_of, sample_vectors
 from weftline.plans.stages import Stages
 
@@ -157,6 +157,7 @@ def _integers(batch) -> np.ndarray:
     return np.frombuffer(b"".join(data)).reshape(len(data), -1)
 
 
+@releasing
 def _place(batches, index, scale):
     index = index.value
     dim = index.pivots.shape[1] if len(index.pivots) else 0
@@ -173,6 +174,7 @@ def _place(batches, index, scale):
             )
 
 
+@releasing
 def _expand(batches, index):
     """The annuli, but the query's own, in which a score as good as the query's k-th can be; best bound first."""
     index, ring = index.value
@@ -200,6 +202,7 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[min(max(s, -(2**63) + 1), 2**63 - 1) for s in v] for v in wide], np.int64)
 
 
+@releasing
 def _compare(batches, k):
     for table in whole_groups(batches, "tile"):
         tiles, kind, ids, bar = (take(table, c) for c in ("tile", "kind", "vec_id", "bar"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, by_bytes, mix, pack, take, texts_of, unpack, with_column
+from weftline.llm.common import WordHashes, mix, pack, releasing, take, text_parts, unpack, with_column
 from weftline.llm.labels import labelled_sample, part
 
 BITS = 20  # of a feature: 4 MiB of weights are broadcast, whatever the data
@@ -121,12 +121,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@releasing
 def _features(batches):
     make = Features()
     for batch in batches:
-        texts = texts_of(batch, "text")
-        for lo, hi in by_bytes(texts, 1 << 20):
-            at, index = make.of(texts[lo:hi])
+        for lo, hi, texts in text_parts(batch, "text", 1 << 20):
+            at, index = make.of(texts)
             found = np.unique(at << BITS | index)
             at, index = found >> BITS, (found & ((1 << BITS) - 1)).astype(np.uint32)
             ends = np.searchsorted(at, np.arange(hi - lo + 1))
@@ -137,6 +137,7 @@ def _features(batches):
             )
 
 
+@releasing
 def _learn(batches, rounds):
     rows, ys = [], []
     for batch in batches:
@@ -157,12 +158,10 @@ def _scorer(held):
     learned = bool(w.any())
 
     def compute(texts):
-        total = np.full(len(texts), float(w[BIAS]))
-        for lo, hi in by_bytes(texts, 1 << 20):
-            at, index = make.of(texts[lo:hi])
-            some = np.flatnonzero(w[index])
-            found = np.unique(at[some] << BITS | index[some])  # presence counts, not frequency
-            total[lo:hi] += np.bincount(found >> BITS, weights=w[found & ((1 << BITS) - 1)], minlength=hi - lo)
+        at, index = make.of(texts)
+        some = np.flatnonzero(w[index])
+        found = np.unique(at[some] << BITS | index[some])  # presence counts, not frequency
+        total = float(w[BIAS]) + np.bincount(found >> BITS, weights=w[found & ((1 << BITS) - 1)], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -35, 35))) if learned else np.zeros(len(texts))
 
     return compute
