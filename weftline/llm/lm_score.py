@@ -107,15 +107,23 @@ def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, np.array(edges, np.uint64)), [len(h)]])
 
 
-def _distinct(grams) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([h[inside] for h, inside in grams]), return_counts=True)
+def _distinct(grams) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(sorted different hashes, how often each occurs, place of every n-gram among them for each order)."""
+    every = np.concatenate([h[inside] for h, inside in grams])
+    order = np.argsort(every)
+    values = every[order]
+    starts = starts_of(values)
+    place = np.empty(len(every), np.int64)
+    place[order] = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    ends = np.cumsum([inside.sum() for _, inside in grams])
+    return values[starts[:-1]], np.diff(starts), np.split(place, ends[:-1])
 
 
 @releasing
 def _send(batches, order, parts):
     cache = WordHashes()
     for block, _, texts in _blocks(batches):
-        h, times = _distinct(_grams(texts, order, cache)[2])
+        h, times, _ = _distinct(_grams(texts, order, cache)[2])
         ends = _ranges(h, parts)
         rows = [
             (block, p, planes(np.diff(h[a:b], prepend=np.uint64(0))), planes(times[a:b].astype(np.uint32)))
@@ -139,7 +147,7 @@ def _add(batches):
                 got = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in data[lo : min(b, lo + 16)]]
                 more = [unplanes(x, np.uint32).astype(np.int64) for x in counts[lo : min(b, lo + 16)]]
                 h, n = np.concatenate([names, *got]), np.concatenate([total, *more])
-                order = np.argsort(h, kind="stable")
+                order = np.argsort(h)
                 h, n = h[order], n[order]
                 first = starts_of(h)
                 names, total = h[first[:-1]], np.add.reduceat(n, first[:-1])
@@ -191,17 +199,20 @@ def _scores(doc, n_docs, grams, totals, alpha, parts):
     """For each document, the sum of the logarithms without those of N, and how often N divides."""
     if not len(doc):
         return np.zeros(n_docs), np.zeros(n_docs, np.int64)
-    h, _ = _distinct(grams)
+    h, _, places = _distinct(grams)
     ends = _ranges(h, parts)
     total = np.concatenate([unplanes(totals[p], np.int64) for p in range(parts) if ends[p + 1] > ends[p]])
     if len(total) != len(h):
         raise ValueError("the documents were not the same when they were read again")
     others = []  # for each order, the count in all other documents
-    for g, inside in grams:
-        at = np.searchsorted(h, g[inside])
-        _, back, times = np.unique(doc[inside] * len(h) + at, return_inverse=True, return_counts=True)
+    for (_, inside), at in zip(grams, places, strict=True):
         count = np.zeros(len(doc), np.int64)
-        count[inside] = total[at] - times[back]
+        more = np.flatnonzero(total[at] > 1)  # what occurs once is the document's own
+        where = np.flatnonzero(inside)[more]
+        key = doc[where] * len(h) + at[more]
+        by = np.argsort(key)
+        own = np.diff(starts_of(key[by]))
+        count[where[by]] = total[at[more[by]]] - np.repeat(own, own)
         others.append(count)
     logs, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
     order = len(grams)
