@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Fixed value: the pre-token pattern of byte-level BPE.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct pre-tokens that an encoder remembers.
+#: Letters, numbers and white space among the first 256 characters.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\v\f\r \x85\xa0"
+#: The pre-token pattern of byte-level BPE, for texts of these characters.
+PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Distinct pre-tokens after which an encoder begins to forget.
 REMEMBER = 200_000
 
 
@@ -23,6 +27,13 @@ def _byte_of() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """One tokenizer of the ``tokenizers`` library, from its JSON."""
 
@@ -35,9 +46,10 @@ class Encoder:
         self.library.no_padding()
         added = json.loads(source)["added_tokens"]
         self.special = [x["content"] for x in added]
-        self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.special_ids = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         to_byte = _byte_of()
         self.bytes_of: list[bytes] = [b""] * self.library.get_vocab_size()
         for token, i in self.library.get_vocab().items():
@@ -54,28 +66,36 @@ class Encoder:
 
         Each distinct pre-token goes through the library once while it is remembered.
         """
+        plain = [self._segments(text) for text in texts]
+        memory = self._remembered(set().union(*(tokens for segments in plain for tokens, _ in segments)))
         out = []
-        for text in texts:
-            segments = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-            found = self.split.findall(text) if len(segments) > 1 else []
+        for segments in plain:
             parts = []
-            for k, segment in enumerate(segments):
-                tokens = self._plain(segment)
-                self._learn(tokens)
-                parts += map(self.memory.__getitem__, tokens)
-                if k < len(found):
-                    parts.append(self.special_ids[found[k]])
+            for tokens, special in segments:
+                parts += map(memory.__getitem__, tokens)
+                parts.append(special)
             out.append(b"".join(parts))
         return out
 
-    def _learn(self, tokens: list[str]) -> None:
-        new = [t for t in set(tokens) if t not in self.memory]
-        if len(self.memory) + len(new) > REMEMBER:
-            self.memory.clear()
-            new = list(set(tokens))
+    def _segments(self, text: str) -> list[tuple[list[str], bytes]]:
+        """The pre-tokens between special strings, each with the id of the special string after it."""
+        if not (self.split and any(s in text for s in self.special)):
+            return [(self._plain(text), b"")]
+        after = [self.special_ids[s] for s in self.split.findall(text)] + [b""]
+        return [(self._plain(x), s) for x, s in zip(self.split.split(text), after, strict=True)]
+
+    def _remembered(self, tokens: set[str]) -> dict[str, bytes]:
+        """Ids of at least these pre-tokens. When too many are known, those not met since the last time are dropped."""
+        if len(self.memory) > REMEMBER:
+            self.old, self.memory = self.memory, {}
+        new = tokens.difference(self.memory)
+        known = {t for t in new if t in self.old}  # the few new ones, not the many old ones, are gone through
+        self.memory.update((t, self.old[t]) for t in known)
+        new = list(new - known)
         for i in range(0, len(new), 2000):
             found = self.library.encode_batch_fast(new[i : i + 2000], add_special_tokens=False)
-            self.memory.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(new[i : i + 2000], found, strict=True))
+            self.memory.update((t, _four_bytes(e.ids)) for t, e in zip(new[i : i + 2000], found, strict=True))
+        return self.memory
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the library decodes to, special tokens kept."""
