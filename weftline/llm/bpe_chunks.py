@@ -197,19 +197,39 @@ def _chunk_lists(batches, bits):
 def _join_chunks(batches, source, give):
     enc = encoder(source.value)
     for batch in batches:
-        for i in range(batch.num_rows):
-            parts = batch.column("parts")[i].as_py()
+        docs, out, held = [], [], 0
+        for doc, parts in zip(batch.column("doc_id").to_pylist(), batch.column("parts"), strict=True):
+            parts = parts.as_py()
             copies = sum(p["seq"] == 0 for p in parts)  # rows with this id and text
             chunks = [np.frombuffer(p["ids"], f"<u{p['ids'][0]}", offset=1).astype("<u4") for p in parts[::copies]]
             ids = assemble(enc, chunks).astype("<u4").tobytes()
-            yield give(enc, pa.array([batch.column("doc_id")[i].as_py()] * copies, pa.int64()), [ids] * copies)
+            docs += [doc] * copies
+            out += [ids] * copies
+            held += len(ids) * copies
+            if held > 1 << 22:
+                yield give(enc, pa.array(docs, pa.int64()), out)
+                docs, out, held = [], [], 0
+        yield give(enc, pa.array(docs, pa.int64()), out)
 
 
-def _cuts(enc: Encoder, ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Bytes of the ids, byte offset of each id, and the safe cuts: after a visible character, before white space."""
-    data = b"".join(map(enc.bytes_of.__getitem__, ids.tolist()))
-    offsets = np.concatenate([[0], np.cumsum(enc.length_of[ids])])
-    return data, offsets, np.array([m.start() for m in _CUT.finditer(data)], np.int64)
+def _edge(enc: Encoder, ids: np.ndarray, reach: int, last: bool) -> tuple[np.ndarray, bytes, list[int]]:
+    """Ids at the end, or at the beginning, with ``reach`` safe cuts if there are as many; their bytes; the cuts.
+
+    A cut is after a visible character and before white space.
+    """
+    n = 64
+    while True:
+        part = ids[-n:] if last else ids[:n]
+        data = b"".join(map(enc.bytes_of.__getitem__, part.tolist()))
+        cuts = [m.start() for m in _CUT.finditer(data)]
+        if len(cuts) >= reach or len(part) == len(ids):
+            return part, data, cuts
+        n *= 4
+
+
+def _at(enc: Encoder, ids: np.ndarray, places: list[int]) -> list[int]:
+    """How many of the ids end at or before each of these places in their bytes."""
+    return np.searchsorted(np.cumsum(enc.length_of[ids]), places, side="right").tolist()
 
 
 def assemble(enc: Encoder, chunks: list[np.ndarray]) -> np.ndarray:
@@ -230,21 +250,21 @@ def assemble(enc: Encoder, chunks: list[np.ndarray]) -> np.ndarray:
         reach = 2
         while True:
             left = done[-1]
-            data, offsets, cuts = _cuts(enc, left)
+            tail, data, cuts = _edge(enc, left, reach, last=True)
             if len(cuts) < reach and len(done) > 1:
                 done[-2:] = [np.concatenate(done[-2:])]
                 continue
-            r_data, r_offsets, r_cuts = _cuts(enc, right)
-            p = int(cuts[-reach]) if len(cuts) >= reach else 0
-            q = int(r_cuts[reach - 1]) if len(r_cuts) >= reach else len(r_data)
+            head, r_data, r_cuts = _edge(enc, right, reach, last=False)
+            inner, r_inner = len(cuts) >= reach, len(r_cuts) >= reach
+            p, known = (cuts[-reach], cuts[-1]) if inner else (0, 0)
+            q, r_known = (r_cuts[reach - 1], r_cuts[0]) if r_inner else (len(r_data), len(r_data))
             again = enc.encode((data[p:] + r_data[:q]).decode())
-            a, b = np.searchsorted(offsets, p), np.searchsorted(r_offsets, q)
-            head = left[a : np.searchsorted(offsets, cuts[-1])] if p else left[:0]
-            tail = right[np.searchsorted(r_offsets, r_cuts[0]) : b] if q < len(r_data) else right[:0]
-            agree = (again[: len(head)] == head).all() if len(again) >= len(head) else False
-            agree = agree and len(again) >= len(tail) and (again[len(again) - len(tail) :] == tail).all()
-            if agree or (p == 0 and q == len(r_data)):
-                done[-1] = left[:a]
+            (a, a_end), (b_start, b) = _at(enc, tail, [p, known]), _at(enc, head, [r_known, q])
+            before, after = tail[a:a_end], head[b_start:b]
+            agree = len(again) >= max(len(before), len(after))
+            agree = agree and (again[: len(before)] == before).all() and (again[len(again) - len(after) :] == after).all()
+            if agree or not (inner or r_inner):
+                done[-1] = left[: len(left) - len(tail) + a]
                 done.append(np.concatenate([again, right[b:]]))
                 break
             reach *= 2
