@@ -69,6 +69,7 @@ def lead(rows: DataFrame, value: str, *keys: Column, name="next") -> DataFrame:
     after = [(a["_range"], b["v"]) for a, b in zip(firsts, firsts[1:], strict=False)]
     schema = StructType([StructField("_range", IntegerType()), StructField("_after", kind)])
     first_after = F.broadcast(dealt.spark.createDataFrame(after, schema))  # a row for each range but the last
-    last = F.row_number().over(Window.partitionBy("_range").orderBy(*[k.desc() for k in dealt.keys])) == 1
-    out = dealt.rows.withColumns({name: F.lead(value).over(dealt.window), "_last": last}).join(first_after, "_range", "left")
-    return out.withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col(name))).drop("_range", "_after", "_last", *dealt.names)
+    following = F.lead(F.struct(F.col(value).alias("v"))).over(dealt.window)  # null in the last row of a range only
+    out = dealt.rows.withColumn("_next", following).join(first_after, "_range", "left")
+    found = F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.v"))
+    return out.withColumn(name, found).drop("_range", "_after", "_next", *dealt.names)

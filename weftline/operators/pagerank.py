@@ -9,6 +9,7 @@ bits only.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +68,10 @@ def pagerank(
     try:
         small = held.count() <= local_edges and (within is None or within.count() <= local_edges)
         if small:
-            table = held.toPandas()
-            extra = within.select("v").toPandas().v.to_numpy(np.int64) if within is not None else np.zeros(0, np.int64)
-            return _local(spark, table.src.to_numpy(np.int64), table.dst.to_numpy(np.int64), extra, damping, eps, steps)
+            table = held.toArrow()
+            src, dst = (table.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
+            extra = within.select("v").toArrow().column("v").to_numpy() if within is not None else np.zeros(0, np.int64)
+            return _local(spark, src, dst, extra, damping, eps, steps)
     finally:
         held.unpersist()
     stages = Stages(spark)
@@ -101,6 +103,4 @@ def _local(spark, src, dst, extra, damping, eps, steps) -> Run:
         if eps is not None and delta <= eps:
             break
         pr = new
-    import pandas as pd
-
-    return Run(spark.createDataFrame(pd.DataFrame({"v": ids, "pr": pr}), "v long, pr double"), trace)
+    return Run(spark.createDataFrame(pa.table({"v": ids, "pr": pr}), "v long, pr double"), trace)
