@@ -47,6 +47,23 @@ def test_near_duplicate_vectors(spark, rows, monkeypatch, few, block):
     assert module.near_duplicate_vectors(table(spark, rows).where("false")).count() == 0
 
 
+def test_links_along_few_directions(spark, monkeypatch):
+    """Near copies whose differences lie in few directions cross more cells than ones that differ in all."""
+    from weftline.llm import embedding_dedup as module
+
+    monkeypatch.setattr(module, "FEW", 0)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 2)) @ rng.standard_normal((2, 32))
+    rows = [(i, [float(v) for v in x[i].astype(np.float32)], 0) for i in range(len(x))]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    for block in (512, 16):
+        monkeypatch.setattr(module, "BLOCK", block)
+        got = {r.vec_id: r.n_links for r in module.near_duplicate_vectors(table(spark, rows)).collect()}
+        assert got == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_top_k(spark, rows, monkeypatch, block):
     from weftline.llm import topk_search as module

@@ -17,8 +17,8 @@ from weftline.plans.stages import Stages
 
 #: Vectors that the codebooks are fitted on, centres of a codebook, and vectors of one cell in a task.
 SAMPLE, CENTRES, BLOCK = 8192, 64, 512
-#: Tables of so few vectors are searched by the exact bound; margin over the calibrated one.
-FEW, MARGIN = 2048, 1.25
+#: Tables of so few vectors are one cell; rows that meet a block at once; slack of squared distances of unit vectors for rounding.
+FEW, STRIP, SLACK = 2048, 2048, 1e-12
 
 
 @dataclass
@@ -48,58 +48,51 @@ class MultiIndex:
             d = distances(half, centres)
             own = d.argmin(1)
             apart = distances(centres, centres)[own]
-            plane = (d**2 - d.min(1)[:, None] ** 2) / np.maximum(2 * apart, 1e-12)
+            plane = np.maximum(d**2 - d.min(1)[:, None] ** 2 - SLACK, 0) / np.maximum(2 * apart, 1e-12)
             plane[np.arange(len(own)), own] = 0
-            out.append(np.maximum(plane, 0) ** 2)
+            out.append(plane**2)
         return out
 
-    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the multi-sequence traversal: nearest cells first, as far as ``reach``.
+    def visits(self, x: np.ndarray, reach: float, lists: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the multi-sequence traversal: nearest cells first, as far as ``reach``; each list once.
 
-        The lists of the two halves are sorted by how far a vector must move to
+        The centres of the two halves are sorted by how far a vector must move to
         be in a centre's cell; pairs are taken while both moves together are
         within reach. With the distance itself as reach, nothing can be missed.
         """
         bounds = self.planes(x)
         order = [np.argsort(b, axis=1, kind="stable") for b in bounds]
         a, b = (np.take_along_axis(m, o, 1) for m, o in zip(bounds, order, strict=True))
-        rows, cells = [], []
-        for step in range(a.shape[1]):  # along the first list, the second list as far as the sum allows
+        rows, found = [], []
+        for step in range(a.shape[1]):  # along the first centres, the second ones as far as the sum allows
             near = a[:, step, None] + b <= reach**2
             if not near.any():
                 break
             r, c = np.nonzero(near)
+            met = np.zeros((len(x), lists), bool)
+            met[r, order[1][r, c] * lists // len(self.second)] = True
+            r, c = np.nonzero(met)
             rows.append(r)
-            cells.append(order[0][r, step] * len(self.second) + order[1][r, c])
-        return np.concatenate(rows), np.concatenate(cells)
-
-    def calibrated(self, unit: np.ndarray, threshold: float, recall: float) -> float:
-        """The reach within which vectors at just the threshold's cosine from those given lie, in a share ``recall`` of all."""
-        rng = np.random.default_rng(7)
-        away = rng.standard_normal(unit.shape)
-        away -= (away * unit).sum(1)[:, None] * unit
-        away /= np.maximum(np.linalg.norm(away, axis=1)[:, None], 1e-12)
-        cell = self.cell(threshold * unit + np.sqrt(1 - threshold**2) * away)
-        at = np.arange(len(unit))
-        first, second = self.planes(unit)
-        moved = np.sqrt(first[at, cell // len(self.second)] + second[at, cell % len(self.second)])
-        return float(np.quantile(moved, recall)) * MARGIN
+            found.append(order[0][r, step] * lists + c)
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def near_duplicate_vectors(
-    rows: DataFrame, *, threshold=0.98, recall=0.9999, id_col="vec_id", vector_col="embedding", label_col="label"
+    rows: DataFrame, *, threshold=0.98, id_col="vec_id", vector_col="embedding", label_col="label"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link if their labels are equal and not null and their cosine, in double
     precision, is at least ``threshold``. Equal vectors of one label are one
     class, which is searched once; n_links still counts every row. Each class
-    visits cells, nearest first, until the share ``recall`` of all links must
-    have been met: as far as vectors at just the threshold from the sample lie,
-    and MARGIN further; in tables of at most FEW vectors as far as any link can
-    lie. Of two cells the greater is visited from the lesser, so a pair is met
-    once, and every pair met is verified in double precision. A cell with many vectors is dealt out in blocks, and tasks return
-    counts and a spanning forest in place of pairs.
+    visits the cells, nearest first, as far as a vector at the threshold can lie:
+    the bound is exact in tables of every size, so no link is missed. The cells
+    of one first centre are dealt out as few lists where these are short, and
+    each on its own where they are long; a class goes once to each list with a
+    cell that it visits. Of two lists the greater is visited from the lesser, so
+    a pair is met once, and every pair met is verified in double precision. A
+    list with many vectors is dealt out in blocks, and tasks return counts and a
+    spanning forest in place of pairs.
 
     The codebooks are fitted on a sample of about SAMPLE vectors; all rows are
     indexed. Vectors that are null, zero, empty, of another length than most of
@@ -120,7 +113,8 @@ def near_duplicate_vectors(
     lengths = np.linalg.norm(found, axis=1) if len(found) else np.zeros(0)
     unit = found[lengths > 0] / lengths[lengths > 0, None] if len(found) else found
     cut = unit.shape[1] // 2 if len(unit) else 0
-    index = MultiIndex(k_means(unit[:, :cut], CENTRES), k_means(unit[:, cut:], CENTRES)) if len(unit) else MultiIndex(unit, unit)
+    centres = CENTRES if len(unit) > FEW else 1
+    index = MultiIndex(k_means(unit[:, :cut], centres), k_means(unit[:, cut:], centres)) if len(unit) else MultiIndex(unit, unit)
     held = spark.sparkContext.broadcast(index)
 
     keyed = stages.write(source.mapInArrow(partial(_cells, index=held), "vec_id long, label string, key binary, data binary, cell int"))
@@ -132,12 +126,14 @@ def near_duplicate_vectors(
     )
     classes = stages.write(classes)
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    if len(unit) > FEW:
-        reach = min(reach, index.calibrated(unit, threshold, recall))
+    wide = max(1, len(index.second))
+    lengths = classes.groupBy("label", F.expr(f"cell div {wide}")).count().agg(F.sum(F.col("count") ** 2), F.sum("count")).first()
+    lists = min(wide, max(1, int(np.ceil(lengths[0] / lengths[1] / BLOCK)))) if lengths[1] else 1  # by the length that a class meets on average
+    classes = classes.withColumn("cell", F.expr(f"cast(cell div {wide} * {lists} + cell % {wide} * {lists} div {wide} as int)"))
 
     sizes = classes.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     probes = classes.select("label", "cls", "rep", "n", "data", "cell").mapInArrow(
-        partial(_visits, index=held, reach=reach), "label string, cls long, rep long, n long, data binary, cell int, home boolean"
+        partial(_visits, index=held, reach=reach, lists=lists), "label string, cls long, rep long, n long, data binary, cell int, home boolean"
     )
     mine, every = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"), F.expr("explode(sequence(0, blocks - 1))")
     columns = ["label", "cell", "cls", "rep", "n", "data"]
@@ -202,12 +198,13 @@ def _cells(batches, index):
 
 
 @releasing
-def _visits(batches, index, reach):
+def _visits(batches, index, reach, lists):
     index = index.value
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            rows, cells = index.visits(_units(part), reach)
+        step = max(50, 500 // lists)
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            rows, cells = index.visits(_units(part), reach, lists)
             home = take(part, "cell")[rows]
             rows, cells, home = (v[cells >= home] for v in (rows, cells, home))
             out = part.take(pa.array(rows))
@@ -229,13 +226,13 @@ def _verify(batches, threshold):
             m = a + int(np.searchsorted(kind[a:b], 1))
             if m == a or m == b:
                 continue
-            near = unit[m:b] @ unit[a:m].T >= threshold
-            if not near.any():
-                continue
-            near &= (label[m:b, None] == label[a:m]) & (cell[m:b, None] == cell[a:m]) & (~home[m:b, None] | (cls[m:b, None] < cls[a:m]))
-            p, q = np.nonzero(near)
-            if len(p):
-                found.append(_linked(m + p, a + q, cls, rep, n))
+            for lo in range(m, b, STRIP):
+                p, q = np.nonzero(unit[lo : min(b, lo + STRIP)] @ unit[a:m].T >= threshold)
+                p, q = lo + p, a + q
+                own = (cell[p] == cell[q]) & (~home[p] | (cls[p] < cls[q]))
+                own &= label[p] == label[q]
+                if own.any():
+                    found.append(_linked(p[own], q[own], cls, rep, n))
         if found:
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["cls", "rep", "links", "root"])
