@@ -40,14 +40,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    gone = jaccard_join(docs, threshold=0.8, words=5).where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():  # rows that share an id are one document
-        known = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = known.unionByName(out.where("doc_id is null"))
-    return out.select(docs.columns)
+    """One row of each group of near duplicates: that with the smallest doc_id, then the smallest hash of its columns.
+
+    Rows are compared, not ids: different texts that share an id all stay. Rows without an id stay.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = jaccard_join(docs, threshold=0.8, words=5).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = Stages(spark).write(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so the numbers hold
+    known = rows.where("doc_id is not null")
+    linked = jaccard_join(known, threshold=0.8, words=5, id_col="_row").where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
+    order = known.select("_row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("_order"))
+    first = linked.join(order, "_row").groupBy("class_id").agg(F.min("_order").alias("_order")).select("_order._row")
+    gone = linked.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

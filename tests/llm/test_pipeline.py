@@ -45,3 +45,21 @@ def test_near_duplicates_of_repeated_rows(spark):
     want = {i for i, c, _ in near_groups(rows) if i == c}
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(want)
     assert sum(r.doc_id is None for r in got) == 2
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    import random
+
+    import corpus_pipeline as pipeline
+    from tests.llm.fixtures import frame, words
+
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 60)) for _ in range(6)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (7, near), (7, texts[1]), (7, texts[2]), (7, texts[2]), (7, None), (8, texts[3]), (8, texts[1]), (9, texts[4])]
+    rows += [(5, texts[5]), (5, texts[5] + " more"), (None, texts[0])]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, frame(spark, rows), "").collect()), key=str)
+    want = [(1, texts[0]), (7, texts[1]), (7, texts[2]), (7, None), (8, texts[3]), (9, texts[4]), (None, texts[0])]
+    five = [r for r in got if r[0] == 5]
+    assert len(five) == 1 and five[0] in rows
+    assert sorted([*want, *five], key=str) == got
