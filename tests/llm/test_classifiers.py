@@ -57,3 +57,13 @@ def test_ftrl_is_sparse():
         model.learn(np.array([0, 10 + y, *np.unique(rng.integers(100, 5000, 20))]), y)
     w = model.weights()
     assert w[11] > 0 > w[10] and np.count_nonzero(w) < 400
+
+
+def test_labels_of_other_documents_are_not_counted(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.labels import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 400, 10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 40).count() == 40

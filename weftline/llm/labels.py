@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int) -> DataFrame:
     """(text, y, pick) of about ``most`` labelled training rows, or of all if there are fewer.
 
+    Labels of documents that ``docs`` doesn't hold aren't counted.
     Rows are taken by a hash of doc_id, alike at every size. ``train`` is an
     expression over doc_id. Labels that are null, and rows without an id, are
     left out; where a document has several labels, the largest counts.
@@ -21,6 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Colu
         .agg(F.max("y").alias("y"))
         .withColumn("pick", F.xxhash64("doc_id", F.lit(target)))
     )
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = known.join(held, "doc_id", "left_semi")
     n = known.count()
     if n > most:
         known = known.where(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * most / n))
