@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,7 +66,7 @@ def near_groups(rows, threshold=0.8):
 
 def deduped(rows, min_words=50):
     """[(doc_id, text)]: texts without later copies of runs of lines, straight from the definition."""
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.md5((rows[k][1] or "").encode()).hexdigest()))
     lines = {k: (rows[k][1] or "").split("\n") for k in order}
     real = {k: [i for i, x in enumerate(lines[k]) if x.strip()] for k in order}
     first: dict[tuple, tuple] = {}
@@ -76,7 +77,7 @@ def deduped(rows, min_words=50):
             for e in range(s + 1, len(own) + 1):
                 run = tuple(own[s:e])
                 if sum(len(x.split()) for x in run) >= min_words:
-                    key = (rows[k], s)
+                    key = (k, s)
                     if first.setdefault(run, key) != key:
                         gone[k] |= set(range(s, e))
                     if e - s > 60:

@@ -78,18 +78,39 @@ def test_line_dedup(docs, none):
     assert dedup_lines(none).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=1, max_size=40), st.integers(0, 30), st.integers(1, 10))
-def test_run_names_tell_runs_apart(lines, start, length):
-    from weftline.llm.line_dedup import run_names
-
-    names = np.array([[x * 7 + 1, x * 13 + 5] for x in lines], np.uint64)
-    every = [(s, n) for s in range(len(lines)) for n in range(1, len(lines) - s + 1)]
-    keys = run_names(names, np.array([s for s, _ in every]), np.array([n for _, n in every]))
-    same = defaultdict(set)
-    for (s, n), k in zip(every, keys, strict=True):
-        same[k.tobytes()].add(tuple(lines[s : s + n]))
-    assert all(len(v) == 1 for v in same.values()) and len(same) == len({tuple(lines[s : s + n]) for s, n in every})
+def test_line_dedup_names_and_repeats(spark):
+    """Columns of any name; rows without an id, and repeated rows, are told apart."""
+    from weftline.llm.line_dedup import dedup_lines
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long), (7, long), (7, long), (8, "short"), (8, "short"), (9, f"{long}\nmore\n{long}")]
+    docs = frame(spark, rows).selectExpr("*", "1 as SLOT", "'a' as n_lines", "2 as N_DELETED", "3 as num", "4 as row", "5 as c0")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "SLOT", "num", "row", "c0", "n_lines", "n_deleted"]
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_deleted) for r in got.collect()), key=str) == sorted(
+        [(None, "", 1, 1), (None, "", 1, 1), (7, long, 1, 0), (7, "", 1, 1), (8, "short", 1, 0), (8, "short", 1, 0), (9, "more", 3, 2)], key=str
+    )
+
+
+def test_line_dedup_of_a_row_repeated_often(spark):
+    from weftline.llm.line_dedup import dedup_lines
+
+    text = "\n".join(" ".join(f"w{i}" for i in range(k, k + 20)) for k in range(4))
+    got = dedup_lines(frame(spark, [(1, text)] * 10_000)).groupBy("n_deleted").count().collect()
+    assert {r.n_deleted: r["count"] for r in got} == {0: 1, 4: 9_999}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_intervals(spark, seed):
+    """Few different lines, so that runs of many lengths repeat within and between texts."""
+    import random
+
+    from weftline.llm.line_dedup import dedup_lines
+
+    rng = random.Random(seed)
+    rows = [(i, "\n".join("ab cd ef gh".split()[rng.randrange(3)] for _ in range(rng.randrange(30)))) for i in range(12)]
+    got = dedup_lines(frame(spark, rows), min_words=5).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == deduped(rows, 5)
 
 
 def backoff(rows, alpha=0.4):
