@@ -185,6 +185,79 @@ def test_joints_are_repaired(parts, cuts):
     assert assemble(enc, chunks).tolist() == want and enc.encode(text).tolist() == want
 
 
+def long_texts():
+    """Texts without ASCII white space: Chinese with and without punctuation, base64."""
+    import base64
+    import random
+
+    rng = random.Random(3)
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(400_000)]
+    marked = [c + "，" if k % 17 == 0 else c for k, c in enumerate(han)]
+    return {"marked": "".join(marked), "plain": "".join(han[:60_000]), "base64": base64.b64encode(rng.randbytes(900_000)).decode()}
+
+
+@pytest.mark.parametrize("kind", ["marked", "plain", "base64"])
+def test_joints_of_long_texts_without_white_space(tokenizer, kind):
+    """Put together from chunks in a small multiple of the library's own time."""
+    import time
+
+    from weftline.llm.bpe import encoder, read_tokenizer
+    from weftline.llm.bpe_chunks import assemble, boundaries
+
+    enc = encoder(read_tokenizer(P.path("byte_bpe_50k.json")))
+    text = long_texts()[kind]
+    data = text.encode()
+    ends = boundaries([data])[0]
+    chunks = [enc.encode(data[a:b].decode()) for a, b in zip([0, *ends], ends, strict=False)]
+    assert len(chunks) > 20
+    began = time.perf_counter()
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    library = time.perf_counter() - began
+    began = time.perf_counter()
+    assert assemble(enc, chunks).tolist() == want
+    assert time.perf_counter() - began < 8 * library + 2
+
+
+def test_a_row_repeated_often(spark, tokenizer):
+    """One row 10,000 times: every operator splits it and returns as many rows."""
+    from weftline.llm.bpe_chunks import encode_documents
+    from weftline.llm.jaccard_join import jaccard_join
+    from weftline.llm.packing import best_fit_pack
+    from weftline.llm.token_counts import count_tokens
+
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = frame(spark, [(1, text)] * 10_000)
+    n = len(tokenizer.encode(text, add_special_tokens=False).ids)
+    path = P.path("byte_bpe_50k.json")
+    assert [tuple(r) for r in encode_documents(docs, path, digest=True).groupBy("doc_id", "n_tokens").count().collect()] == [(1, n, 10_000)]
+    assert [tuple(r) for r in count_tokens(docs, path).groupBy("doc_id", "n_tokens").count().collect()] == [(1, n, 10_000)]
+    assert [tuple(r) for r in jaccard_join(docs).groupBy("class_id", "n_links", "kept").count().collect()] == [(1, 9_999, True, 10_000)]
+    packed = best_fit_pack(docs, capacity=400)
+    assert packed.count() == packed.select("bin").distinct().count() == 10_000  # one cluster: no two in a bin
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.95])
+def test_jaccard_join_at_other_thresholds(spark, threshold):
+    import random
+
+    from weftline.llm.jaccard_join import banding, jaccard_join
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(12):
+        base = [f"t{k}x{i}" for i in range(60)]
+        for j in range(5):
+            w = list(base)
+            for _ in range(j):
+                w[rng.randrange(60)] = f"c{rng.randrange(99)}"
+            rows.append((10 * k + j, " ".join(w)))
+    got = jaccard_join(frame(spark, rows), threshold=threshold).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == near_groups(rows, threshold)
+    assert banding(0.8) == (32, 4)
+    with pytest.raises(ValueError):
+        banding(0.05)
+
+
 def test_pre_tokens_of_every_latin_character(tokenizer):
     from weftline.llm.bpe import encoder, read_tokenizer
 

@@ -34,6 +34,15 @@ def _four_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _check(file: dict) -> None:
+    """Raises where the file asks for another splitting than PATTERN or for changes of the text."""
+    split = file.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain = plain and file["model"]["type"] == "BPE" and not file.get("normalizer")
+    if not plain or any(x.get(f) for x in file["added_tokens"] for f in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("the tokenizer is no plain byte-level BPE")
+
+
 class Encoder:
     """One tokenizer of the ``tokenizers`` library, from its JSON."""
 
@@ -45,7 +54,9 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         added = json.loads(source)["added_tokens"]
+        _check(json.loads(source))
         self.special = [x["content"] for x in added]
+        self.longest_special = max((len(x.encode()) for x in self.special), default=0)
         self.split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.special_ids = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
         self.memory: dict[str, bytes] = {}

@@ -18,7 +18,8 @@ from weftline.plans.stages import Stages
 
 #: Bits of the rolling hash that are 0 at a boundary; least and most bytes of a chunk.
 MASK, LEAST, MOST = (1 << 10) - 1, 256, 8192
-_CUT = regex.compile(rb"(?<=[!-~])(?=[ \n\t\r])")
+#: Places where every pre-token ends, whatever stands around: after a letter or digit that no other follows, and before white space.
+_CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 _IDS = "doc_id long, ids binary"
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -71,10 +72,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, digest=False, id_col="d
 
     Texts are cut by content into chunks. A chunk that more than one place of
     the corpus holds is encoded once; documents that hold such chunks are put
-    together from them, and where two chunks meet, the text around the place is
-    encoded again, from further and further out, until what is encoded again
-    agrees with both chunks at its ends. A document of which no chunk occurs
-    elsewhere is encoded where it is read, without a shuffle.
+    together from them, and the text around each joint is encoded again, until
+    what is encoded again agrees with the chunks at its ends (see ``assemble``). A
+    document of which no chunk occurs elsewhere is encoded where it is read,
+    without a shuffle.
 
     Which documents hold shared chunks reaches the readers as a bitmap of 1 MiB.
     In a table so large that it fills up, more documents take the way through
@@ -82,32 +83,34 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, digest=False, id_col="d
 
     ``tokenizer`` is a byte-level BPE of the ``tokenizers`` library; special
     strings in a text become their ids, as is the library's default. A null text
-    counts as an empty one and has no ids. Repeated rows return as many rows, a
-    null id stays null, further columns are ignored, an empty table gives an
-    empty result.
+    counts as an empty one and has no ids. A very long text takes time in
+    proportion to its length, also without white space. Repeated rows return as
+    many rows but are put together once, a null id stays null, further columns
+    are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     give, schema = (_digest, _DIGEST) if digest else (_ids, _IDS)
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
-    keyed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row")
-    ).withColumn("slot", F.pmod("row", F.lit(FILTER_BITS)))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = keyed.withColumn("row", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    keyed = keyed.withColumn("slot", F.pmod(F.xxhash64("doc_id", "row"), F.lit(FILTER_BITS)))
 
-    chunks = stages.write(keyed.mapInArrow(_chunk_hashes, "slot long, hash binary"))
-    shared = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    chunks = stages.write(keyed.mapInArrow(_chunk_lists, "doc_id long, row binary, slot long, seq int, hash binary"))
+    shared = stages.write(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     bits = spark.sparkContext.broadcast(slot_filter(chunks.join(shared, "hash", "left_semi")))
-    stages.drop(chunks)
+    stages.drop(shared)
 
     alone = keyed.mapInArrow(partial(_encode_alone, source=source, bits=bits, give=give), schema)
 
     texts = keyed.mapInArrow(partial(_chunk_texts, bits=bits), "hash binary, data binary")
     once = texts.groupBy("hash").agg(F.first("data").alias("data"))
     encoded = once.mapInArrow(partial(_encode_chunks, source=source), "hash binary, ids binary")
-    lists = keyed.mapInArrow(partial(_chunk_lists, bits=bits), "doc_id long, row long, seq int, hash binary")
-    met = lists.join(encoded, "hash").select("doc_id", "row", F.struct("seq", "ids").alias("part"))
-    gathered = met.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    joined = gathered.select("doc_id", "parts").mapInArrow(partial(_join_chunks, source=source, give=give), schema)
+    lists = chunks.mapInArrow(partial(_flagged, bits=bits), chunks.schema)
+    lists = lists.groupBy("doc_id", "row", "seq", "hash").agg(F.count("*").cast("int").alias("copies"))  # rows with this id and text
+    met = lists.join(encoded, "hash").select("doc_id", "row", "copies", F.struct("seq", "ids").alias("part"))
+    gathered = met.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.first("copies").alias("copies"))
+    joined = gathered.select("doc_id", "copies", "parts").mapInArrow(partial(_join_chunks, source=source, give=give), schema)
     return alone.unionByName(joined)
 
 
@@ -142,11 +145,23 @@ def _batch(**columns):
 
 
 @releasing
-def _chunk_hashes(batches):
+def _chunk_lists(batches):
     for batch, texts in _selected(batches):
         found = [[h for h, _ in x] for x in _spans(texts)]
-        slots = np.repeat(take(batch, "slot"), [len(x) for x in found])
-        yield _batch(slot=pa.array(slots, pa.int64()), hash=pa.array([h for x in found for h in x], pa.binary()))
+        n = [len(x) for x in found]
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        yield _batch(
+            doc_id=batch.column("doc_id").take(at),
+            row=batch.column("row").take(at),
+            slot=batch.column("slot").take(at),
+            seq=pa.array([i for x in found for i in range(len(x))], pa.int32()),
+            hash=pa.array([h for x in found for h in x], pa.binary()),
+        )
+
+
+def _flagged(batches, bits):
+    for batch in batches:
+        yield batch.filter(pa.array(passes(bits.value, take(batch, "slot"))))
 
 
 @releasing
@@ -179,96 +194,111 @@ def _small(ids: np.ndarray) -> bytes:
     return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.tobytes()
 
 
-@releasing
-def _chunk_lists(batches, bits):
-    for batch, texts in _selected(batches, bits):
-        found = [[h for h, _ in x] for x in _spans(texts)]
-        n = [len(x) for x in found]
-        at = pa.array(np.repeat(np.arange(len(n)), n))
-        yield _batch(
-            doc_id=batch.column("doc_id").take(at),
-            row=batch.column("row").take(at),
-            seq=pa.array([i for x in found for i in range(len(x))], pa.int32()),
-            hash=pa.array([h for x in found for h in x], pa.binary()),
-        )
-
-
 @releasing
 def _join_chunks(batches, source, give):
     enc = encoder(source.value)
     for batch in batches:
         docs, out, held = [], [], 0
-        for doc, parts in zip(batch.column("doc_id").to_pylist(), batch.column("parts"), strict=True):
-            parts = parts.as_py()
-            copies = sum(p["seq"] == 0 for p in parts)  # rows with this id and text
-            chunks = [np.frombuffer(p["ids"], f"<u{p['ids'][0]}", offset=1).astype("<u4") for p in parts[::copies]]
+        for doc, copies, parts in zip(batch.column("doc_id").to_pylist(), take(batch, "copies").tolist(), batch.column("parts"), strict=True):
+            chunks = [np.frombuffer(p["ids"], f"<u{p['ids'][0]}", offset=1).astype("<u4") for p in parts.as_py()]
             ids = assemble(enc, chunks).astype("<u4").tobytes()
-            docs += [doc] * copies
-            out += [ids] * copies
-            held += len(ids) * copies
-            if held > 1 << 22:
-                yield give(enc, pa.array(docs, pa.int64()), out)
-                docs, out, held = [], [], 0
+            for _ in range(copies):
+                docs.append(doc)
+                out.append(ids)
+                held += len(ids)
+                if held > 1 << 22:
+                    yield give(enc, pa.array(docs, pa.int64()), out)
+                    docs, out, held = [], [], 0
         yield give(enc, pa.array(docs, pa.int64()), out)
 
 
-def _edge(enc: Encoder, ids: np.ndarray, reach: int, last: bool) -> tuple[np.ndarray, bytes, list[int]]:
-    """Ids at the end, or at the beginning, with ``reach`` safe cuts if there are as many; their bytes; the cuts.
+def _bytes(enc: Encoder, ids: np.ndarray) -> bytes:
+    return b"".join(map(enc.bytes_of.__getitem__, ids.tolist()))
+
 
-    A cut is after a visible character and before white space.
+def _cuts(enc: Encoder, ids: np.ndarray, reach: int, last: bool) -> tuple[int, int, int, int] | None:
+    """The cut that is ``reach``-th from the joint and the one next to the joint, in ids and in bytes from the joint.
+
+    Cuts are ends of ids too, and farther from the joint than a special string is
+    long. None if there aren't as many.
     """
     n = 64
     while True:
         part = ids[-n:] if last else ids[:n]
-        data = b"".join(map(enc.bytes_of.__getitem__, part.tolist()))
-        cuts = [m.start() for m in _CUT.finditer(data)]
-        if len(cuts) >= reach or len(part) == len(ids):
-            return part, data, cuts
+        data, ends = _bytes(enc, part), np.cumsum(enc.length_of[part])
+        skip = 0
+        while last and skip < min(3, len(data)) and data[skip] & 0xC0 == 0x80:  # the rest of a character
+            skip += 1
+        text = data[skip:].decode("utf-8", "ignore")
+        at = np.cumsum([0, *(len(c.encode()) for c in text)]) if not text.isascii() else np.arange(len(text) + 1)
+        places = at[[m.start() for m in _CUT.finditer(text)]] + skip if text else np.zeros(0, np.int64)
+        places = places[np.isin(places, ends)]
+        away = len(data) - places if last else places
+        places = places[away >= enc.longest_special]
+        if len(places) >= reach:
+            far, near = (places[-reach], places[-1]) if last else (places[reach - 1], places[0])
+            count = np.searchsorted(ends, [far, near]) + 1  # ids that end there or before
+            if last:
+                return len(part) - int(count[0]), len(part) - int(count[1]), len(data) - int(far), len(data) - int(near)
+            return int(count[0]), int(count[1]), int(far), int(near)
+        if len(part) == len(ids):
+            return None
         n *= 4
 
 
-def _at(enc: Encoder, ids: np.ndarray, places: list[int]) -> list[int]:
-    """How many of the ids end at or before each of these places in their bytes."""
-    return np.searchsorted(np.cumsum(enc.length_of[ids]), places, side="right").tolist()
-
-
 def assemble(enc: Encoder, chunks: list[np.ndarray]) -> np.ndarray:
     """The ids of a text from those of its chunks.
 
-    At each joint the text between a safe cut on the left and one on the right
-    is encoded again. The first tries go one cut beyond the nearest, so that
-    what is encoded again holds ids that both sides already have; where these
-    agree, the joint is done, else the cuts move out.
+    Around each joint the text from a cut on the left to one on the right is
+    encoded again. It goes some cuts beyond the nearest, so that what is encoded
+    again holds ids that both sides already have; unless these agree, all joints
+    are done again from cuts farther out, and in the end the text as a whole. A
+    chunk without such cuts is a part of one window with its neighbours', so a
+    text without any cut is encoded once, not once for each joint.
     """
-    done: list[np.ndarray] = []
-    for right in chunks:
-        if not len(right):
-            continue
-        if not done:
-            done.append(right)
-            continue
-        reach = 2
-        while True:
-            left = done[-1]
-            tail, data, cuts = _edge(enc, left, reach, last=True)
-            if len(cuts) < reach and len(done) > 1:
-                done[-2:] = [np.concatenate(done[-2:])]
+    chunks = [c for c in chunks if len(c)]
+    if len(chunks) < 2:
+        return chunks[0] if chunks else np.zeros(0, "<u4")
+    for reach in (2, 4, 16):
+        found = _repaired(enc, chunks, reach)
+        if found is not None:
+            return found
+    return enc.encode(b"".join(_bytes(enc, c) for c in chunks).decode())
+
+
+def _repaired(enc: Encoder, chunks: list[np.ndarray], reach: int) -> np.ndarray | None:
+    """The ids with all joints encoded again, or None if they don't agree with the chunks."""
+    none = chunks[0][:0]
+    out, window, before = [], [], none
+    for i, ids in enumerate(chunks):
+        head = _cuts(enc, ids, reach, last=False) if i else (0, 0, 0, 0)
+        tail = _cuts(enc, ids, reach, last=True) if i + 1 < len(chunks) else (0, 0, 0, 0)
+        if head is None or tail is None or head[0] + tail[0] > len(ids):
+            if i + 1 < len(chunks) or head is None:  # no cut on both sides: the whole chunk belongs to the window
+                window.append(ids)
+                if i + 1 == len(chunks):
+                    again = enc.encode(b"".join(_bytes(enc, w) for w in window).decode())
+                    if not _agree(again, before, none):
+                        return None
+                    out.append(again)
                 continue
-            head, r_data, r_cuts = _edge(enc, right, reach, last=False)
-            inner, r_inner = len(cuts) >= reach, len(r_cuts) >= reach
-            p, known = (cuts[-reach], cuts[-1]) if inner else (0, 0)
-            q, r_known = (r_cuts[reach - 1], r_cuts[0]) if r_inner else (len(r_data), len(r_data))
-            again = enc.encode((data[p:] + r_data[:q]).decode())
-            (a, a_end), (b_start, b) = _at(enc, tail, [p, known]), _at(enc, head, [r_known, q])
-            before, after = tail[a:a_end], head[b_start:b]
-            agree = len(again) >= max(len(before), len(after))
-            agree = agree and (again[: len(before)] == before).all() and (again[len(again) - len(after) :] == after).all()
-            if agree or not (inner or r_inner):
-                done[-1] = left[: len(left) - len(tail) + a]
-                done.append(np.concatenate([again, right[b:]]))
-                break
-            reach *= 2
-    return np.concatenate(done) if done else np.zeros(0, "<u4")
+        if i:
+            window.append(ids[: head[0]])
+            again = enc.encode(b"".join(_bytes(enc, w) for w in window).decode())
+            if not _agree(again, before, ids[head[1] : head[0]]):
+                return None
+            out.append(again)
+        stop = len(ids) - tail[0]
+        out.append(ids[head[0] : stop])
+        window, before = [ids[stop:]], ids[stop : len(ids) - tail[1]]
+    return np.concatenate(out)
+
+
+def _agree(again: np.ndarray, before: np.ndarray, after: np.ndarray) -> bool:
+    """Whether the ids begin and end with these."""
+    if len(again) < max(len(before), len(after)):
+        return False
+    return bool((again[: len(before)] == before).all() and (again[len(again) - len(after) :] == after).all())
 
 
 def _ids(enc, doc_ids, ids):

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import components, forest, partitions, releasing, starts_of, take, whole_groups
-from weftline.llm.vectors import distances, k_means, matrix_of, sample_vectors
+from weftline.llm.vectors import by_length, distances, fitted, k_means, sample_vectors
 from weftline.plans.stages import Stages
 
-#: Vectors that the codebooks are fitted on, centres of a codebook, and vectors of one cell in a task.
-SAMPLE, CENTRES, BLOCK = 8192, 64, 512
-#: Tables of so few vectors are one cell; rows that meet a block at once; slack of squared distances of unit vectors for rounding.
-FEW, STRIP, SLACK = 2048, 2048, 1e-12
+#: Vectors that the codebooks are fitted on; cells for each vector and most centres of a codebook.
+SAMPLE, PER_CELL, CENTRES = 8192, 8, 512
+#: Vectors of a list and of a block of it; rows that meet a block at once; slack of squared distances of unit vectors for rounding.
+LIST, BLOCK, STRIP, SLACK = 512, 256, 2048, 1e-12
 
 
 @dataclass
@@ -30,7 +30,7 @@ class MultiIndex:
 
     @property
     def dim(self) -> int:
-        return self.first.shape[1] + self.second.shape[1] if len(self.first) else 0
+        return self.first.shape[1] + self.second.shape[1]
 
     def halves(self, x: np.ndarray):
         cut = self.first.shape[1]
@@ -54,49 +54,65 @@ class MultiIndex:
         return out
 
     def visits(self, x: np.ndarray, reach: float, lists: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the multi-sequence traversal: nearest cells first, as far as ``reach``; each list once.
+        """(row, list) of the multi-sequence traversal, each list once.
 
-        The centres of the two halves are sorted by how far a vector must move to
-        be in a centre's cell; pairs are taken while both moves together are
-        within reach. With the distance itself as reach, nothing can be missed.
+        The centres of the two halves are two sequences, sorted by how far a
+        vector must move to be in a centre's cell. Pairs are visited in the order
+        of the sum of both, nearest first, and the traversal of a row ends at the
+        first pair beyond ``reach``. With the greatest distance of a link as
+        reach, nothing can be missed.
         """
         bounds = self.planes(x)
         order = [np.argsort(b, axis=1, kind="stable") for b in bounds]
         a, b = (np.take_along_axis(m, o, 1) for m, o in zip(bounds, order, strict=True))
-        rows, found = [], []
-        for step in range(a.shape[1]):  # along the first centres, the second ones as far as the sum allows
-            near = a[:, step, None] + b <= reach**2
-            if not near.any():
-                break
-            r, c = np.nonzero(near)
-            met = np.zeros((len(x), lists), bool)
-            met[r, order[1][r, c] * lists // len(self.second)] = True
-            r, c = np.nonzero(met)
-            rows.append(r)
-            found.append(order[0][r, step] * lists + c)
-        return np.concatenate(rows), np.concatenate(found)
+        # as both sequences ascend, pairs within reach are a staircase, from which the nearest are taken first
+        rows, i, j = np.nonzero(a[:, :, None] + b[:, None, :] <= reach**2)
+        nearest = np.lexsort((a[rows, i] + b[rows, j], rows))
+        rows, i, j = rows[nearest], i[nearest], j[nearest]
+        found = order[0][rows, i] * lists + order[1][rows, j] * lists // len(self.second)
+        _, first = np.unique(rows * (len(self.first) * lists) + found, return_index=True)
+        first.sort()  # in the order of the traversal
+        return rows[first], found[first]
+
+    def reach_of(self, x: np.ndarray, threshold: float, recall: float) -> float:
+        """How far the traversal goes: as far as a link can lie, or, for a recall below 1, as that share of the sample's links does."""
+        exact = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+        if recall >= 1 or not len(x):
+            return exact
+        cells, moves = self.cell(x), []
+        for lo in range(0, len(x), 512):
+            part = x[lo : lo + 512]
+            p, q = np.nonzero(part @ x.T >= threshold)
+            p, q = p[p + lo != q], q[p + lo != q]
+            first, second = self.planes(part)
+            moves.append(first[p, cells[q] // len(self.second)] + second[p, cells[q] % len(self.second)])
+        moves = np.concatenate(moves)
+        return min(exact, float(np.sqrt(np.quantile(moves, recall))) + 1e-9) if len(moves) else exact
 
 
 def near_duplicate_vectors(
-    rows: DataFrame, *, threshold=0.98, id_col="vec_id", vector_col="embedding", label_col="label"
+    rows: DataFrame, *, threshold=0.98, recall=1.0, id_col="vec_id", vector_col="embedding", label_col="label"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Rows link if their labels are equal and not null and their cosine, in double
-    precision, is at least ``threshold``. Equal vectors of one label are one
-    class, which is searched once; n_links still counts every row. Each class
-    visits the cells, nearest first, as far as a vector at the threshold can lie:
-    the bound is exact in tables of every size, so no link is missed. The cells
-    of one first centre are dealt out as few lists where these are short, and
-    each on its own where they are long; a class goes once to each list with a
-    cell that it visits. Of two lists the greater is visited from the lesser, so
-    a pair is met once, and every pair met is verified in double precision. A
-    list with many vectors is dealt out in blocks, and tasks return counts and a
-    spanning forest in place of pairs.
-
-    The codebooks are fitted on a sample of about SAMPLE vectors; all rows are
-    indexed. Vectors that are null, zero, empty, of another length than most of
-    the sample, or that hold null or non-finite components link with nothing, as
+    Rows link if their labels and lengths are equal, their labels are not null
+    and their cosine, in double precision, is at least ``threshold``. Equal
+    vectors of one label are one class, which is searched once; n_links still
+    counts every row. Each class visits the cells of the product grid, nearest
+    first, until the target ``recall``: by default 1, for which it goes as far as
+    a vector at the threshold can lie, so no link is missed. A lower target stops
+    where that share of the links within the sample lies. Codebooks grow with the
+    number of different vectors. The cells of one first centre are dealt out as
+    few lists where these are short, and each on its own where they are long; a
+    class goes once to each list with a cell that it visits. Of two lists the
+    greater is visited from the lesser, so a pair is met once, and every pair met
+    is verified in double precision. A list with many vectors is dealt out in
+    blocks, and tasks return counts and a spanning forest in place of pairs.
+
+    The codebooks are fitted on a sample of about SAMPLE different vectors of the
+    commonest length; all rows are indexed, those of another length by as many
+    components as the codebooks have, which is as exact. Vectors that are null,
+    zero, empty, or that hold null or non-finite components link with nothing, as
     do rows with a null id or label: their n_links is 0 and their component is
     their own id. Rows that share an id share a component. Repeated rows are
     rows of their own. Further columns are ignored; an empty table gives an
@@ -108,32 +124,28 @@ def near_duplicate_vectors(
     source = rows.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x"), F.col(label_col).cast("string").alias("label")
     )
-    usable = source.where("vec_id is not null and label is not null")
-    found = sample_vectors(usable, "x", "vec_id", SAMPLE)
-    lengths = np.linalg.norm(found, axis=1) if len(found) else np.zeros(0)
-    unit = found[lengths > 0] / lengths[lengths > 0, None] if len(found) else found
+    found, different = sample_vectors(source.where("vec_id is not null and label is not null"), "x", SAMPLE)
+    unit = _unit(found[found.any(axis=1)]) if len(found) else found
     cut = unit.shape[1] // 2 if len(unit) else 0
-    centres = CENTRES if len(unit) > FEW else 1
-    index = MultiIndex(k_means(unit[:, :cut], centres), k_means(unit[:, cut:], centres)) if len(unit) else MultiIndex(unit, unit)
+    centres = min(CENTRES, max(1, round((different / PER_CELL) ** 0.5)))
+    index = MultiIndex(k_means(unit[:, :cut], centres), k_means(unit[:, cut:], centres)) if len(unit) else MultiIndex(np.zeros((1, 0)), np.zeros((1, 0)))
     held = spark.sparkContext.broadcast(index)
 
-    keyed = stages.write(source.mapInArrow(partial(_cells, index=held), "vec_id long, label string, key binary, data binary, cell int"))
-    classes = (
-        keyed.where("key is not null")
-        .groupBy("label", "key")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("data").alias("data"), F.first("cell").alias("cell"))
-        .withColumn("cls", F.xxhash64("label", "key"))
+    keyed = stages.write(source.mapInArrow(partial(_cells, index=held), "vec_id long, label string, cls binary, data binary, cell int"))
+    classes = stages.write(
+        keyed.where("cls is not null")
+        .groupBy("cls")
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("data").alias("data"), F.first("cell").alias("cell"), F.first("label").alias("label"))
     )
-    classes = stages.write(classes)
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    wide = max(1, len(index.second))
+    reach = index.reach_of(unit, threshold, recall)
+    wide = len(index.second)
     lengths = classes.groupBy("label", F.expr(f"cell div {wide}")).count().agg(F.sum(F.col("count") ** 2), F.sum("count")).first()
-    lists = min(wide, max(1, int(np.ceil(lengths[0] / lengths[1] / BLOCK)))) if lengths[1] else 1  # by the length that a class meets on average
+    lists = min(wide, max(1, int(np.ceil(lengths[0] / lengths[1] / LIST)))) if lengths[1] else 1  # by the length that a class meets on average
     classes = classes.withColumn("cell", F.expr(f"cast(cell div {wide} * {lists} + cell % {wide} * {lists} div {wide} as int)"))
 
-    sizes = classes.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = stages.write(classes.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     probes = classes.select("label", "cls", "rep", "n", "data", "cell").mapInArrow(
-        partial(_visits, index=held, reach=reach, lists=lists), "label string, cls long, rep long, n long, data binary, cell int, home boolean"
+        partial(_visits, index=held, reach=reach, lists=lists), "label string, cls binary, rep long, n long, data binary, cell int, home boolean"
     )
     mine, every = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"), F.expr("explode(sequence(0, blocks - 1))")
     columns = ["label", "cell", "cls", "rep", "n", "data"]
@@ -145,16 +157,14 @@ def near_duplicate_vectors(
     links = stages.write(
         tiles.repartition(width, "tile")
         .sortWithinPartitions("tile", "kind")
-        .mapInArrow(partial(_verify, threshold=threshold), "cls long, rep long, links long, root long")
+        .mapInArrow(partial(_verify, threshold=threshold), "cls binary, rep long, links long, root long")
     )
     part = components(stages, links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
-    known = classes.select("label", "key", "cls", "rep", "n").join(counted, "cls", "left")
-    known = known.join(part, F.col("rep") == F.col("node"), "left").select(
-        "label", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    linked = keyed.where("key is not null").select("vec_id", "label", "key").join(known, ["label", "key"])
-    alone = keyed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = classes.select("cls", "rep", "n").join(counted, "cls", "left").join(part, F.col("rep") == F.col("node"), "left")
+    known = stages.write(known.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    linked = keyed.where("cls is not null").select("vec_id", "cls").join(known, "cls")
+    alone = keyed.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -166,83 +176,96 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _units(batch) -> np.ndarray:
-    """From the bytes of the vectors after one byte that says how many bytes a component has."""
-    data = batch.column("data").to_pylist()
+def _units(data: list[bytes]) -> np.ndarray:
+    """From the bytes of vectors of one length, after one byte that says how many bytes a component has."""
     kind = data[0][0]
     return _unit(np.frombuffer(b"".join(v[1:] for v in data), f"<f{kind}").reshape(len(data), -1))
 
 
 @releasing
 def _cells(batches, index):
+    """Each row's class, which its label and its vector name, the vector's bytes, and its cell; null where it links with nothing."""
     index = index.value
     for batch in batches:
         n, column = batch.num_rows, batch.column("x")
         kind = np.float32 if column.type.value_type == pa.float32() else np.float64
-        usable, x = matrix_of(column, index.dim)
         known = np.asarray(batch.column("vec_id").is_valid()) & np.asarray(batch.column("label").is_valid())
-        x = (x[known[usable]] + 0.0).astype(kind)
-        usable &= known
-        zero = ~x.any(axis=1)
-        usable[np.flatnonzero(usable)[zero]] = False
-        x = x[~zero]
-        if len(x):
-            data = [bytes([x.itemsize]) + v.tobytes() for v in x]
-            pick = pa.array(np.where(usable, np.cumsum(usable) - 1, 0), mask=~usable)
-            keys = [xxhash.xxh3_128_digest(v) for v in data]
-            made = [pa.array(keys, pa.binary()), pa.array(data, pa.binary()), pa.array(index.cell(_unit(x)), pa.int32())]
-            made = [c.take(pick) for c in made]
-        else:
-            made = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *made], ["vec_id", "label", "key", "data", "cell"])
+        label = batch.column("label").to_pylist()
+        cls, data, cell = [None] * n, [None] * n, [None] * n
+        for rows, x in by_length(column):
+            some = known[rows] & x.any(axis=1)
+            rows, x = rows[some], (x[some] + 0.0).astype(kind)  # no negative zeros
+            if not len(rows):
+                continue
+            near = index.cell(fitted(_unit(x), index.dim))
+            for row, v, c in zip(rows.tolist(), x, near.tolist(), strict=True):
+                data[row] = bytes([x.itemsize]) + v.tobytes()
+                cls[row] = xxhash.xxh3_128_digest(f"{x.shape[1]}:{label[row]}:".encode() + data[row])
+                cell[row] = c
+        made = [pa.array(cls, pa.binary()), pa.array(data, pa.binary()), pa.array(cell, pa.int32())]
+        # vectors of different lengths are never compared: the length becomes a part of the label
+        labels = [None if d is None else f"{len(d)}:{v}" for d, v in zip(data, label, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(labels, pa.string()), *made], ["vec_id", "label", "cls", "data", "cell"])
 
 
 @releasing
 def _visits(batches, index, reach, lists):
     index = index.value
+    step = max(1, (1 << 21) // (len(index.first) * len(index.second)))
     for batch in batches:
-        step = max(50, 500 // lists)
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            rows, cells = index.visits(_units(part), reach, lists)
-            home = take(part, "cell")[rows]
-            rows, cells, home = (v[cells >= home] for v in (rows, cells, home))
-            out = part.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns[:-1], pa.array(cells, pa.int32()), pa.array(cells == home)], [*out.schema.names, "home"]
-            )
+        sizes = batch.column("data").to_pylist()
+        order = sorted(range(len(sizes)), key=lambda k: len(sizes[k]))
+        batch, sizes = batch.take(pa.array(order, pa.int64())), [len(sizes[k]) for k in order]
+        cuts = starts_of(np.array(sizes))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for lo in range(a, b, step):
+                part = batch.slice(lo, min(b - lo, step))
+                rows, cells = index.visits(fitted(_units(part.column("data").to_pylist()), index.dim), reach, lists)
+                home = take(part, "cell")[rows]
+                rows, cells, home = (v[cells >= home] for v in (rows, cells, home))
+                out = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns[:-1], pa.array(cells, pa.int32()), pa.array(cells == home)], [*out.schema.names, "home"]
+                )
 
 
 @releasing
 def _verify(batches, threshold):
     """Of each tile: every class that links there, the rows that it links with, and the least class it is joined to."""
     for table in whole_groups(batches, "tile"):
-        tiles, kind, rep, cls, n, cell = (take(table, c) for c in ("tile", "kind", "rep", "cls", "n", "cell"))
-        home = take(table, "home")
-        label, unit = np.array(table.column("label").to_pylist(), object), _units(table)
+        tiles, kind, rep, n, cell, home = (take(table, c) for c in ("tile", "kind", "rep", "n", "cell", "home"))
+        label, cls = (np.array(table.column(c).to_pylist(), object) for c in ("label", "cls"))
+        data = table.column("data").to_pylist()
         starts = starts_of(tiles)
         found = []
         for a, b in zip(starts, starts[1:], strict=False):
-            m = a + int(np.searchsorted(kind[a:b], 1))
-            if m == a or m == b:
-                continue
-            for lo in range(m, b, STRIP):
-                p, q = np.nonzero(unit[lo : min(b, lo + STRIP)] @ unit[a:m].T >= threshold)
-                p, q = lo + p, a + q
-                own = (cell[p] == cell[q]) & (~home[p] | (cls[p] < cls[q]))
-                own &= label[p] == label[q]
-                if own.any():
-                    found.append(_linked(p[own], q[own], cls, rep, n))
+            own = np.arange(a, b)
+            for name in dict.fromkeys(label[a:b]):  # one, unless hashes of tiles collide
+                same = own[label[a:b] == name]
+                members, visitors = same[kind[same] == 0], same[kind[same] == 1]
+                if not len(members) or not len(visitors):
+                    continue
+                x = _units([data[k] for k in members])
+                for lo in range(0, len(visitors), STRIP):
+                    strip = visitors[lo : lo + STRIP]
+                    p, q = np.nonzero(_units([data[k] for k in strip]) @ x.T >= threshold)
+                    p, q = strip[p], members[q]
+                    own_pair = (cell[p] == cell[q]) & (~home[p] | (cls[p] < cls[q]))
+                    if own_pair.any():
+                        found.append(_linked(p[own_pair], q[own_pair], cls, rep, n))
         if found:
-            columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "rep", "links", "root"])
+            cls_, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cls_.tolist(), pa.binary()), *(pa.array(c, pa.int64()) for c in rest)], ["cls", "rep", "links", "root"])
 
 
 def _linked(a, b, cls, rep, n):
     """For links between rows a and b: (class, its id, rows that it links with, least id of what it is joined to)."""
-    ids = np.unique(rep[np.concatenate([a, b])])
+    both = np.concatenate([a, b])
+    ids = np.unique(rep[both])
     root = ids[forest(np.searchsorted(ids, rep[a]), np.searchsorted(ids, rep[b]), len(ids))]
-    found, at, back = np.unique(cls[np.concatenate([a, b])], return_index=True, return_inverse=True)
-    own = rep[np.concatenate([a, b])[at]]
-    links = np.bincount(back, weights=n[np.concatenate([b, a])], minlength=len(found)).astype(np.int64)
-    return found, own, links, root[np.searchsorted(ids, own)]
+    place: dict[bytes, int] = {}
+    back = np.fromiter((place.setdefault(c, len(place)) for c in cls[both]), np.int64, len(both))
+    at = np.zeros(len(place), np.int64)
+    at[back] = both
+    links = np.bincount(back, weights=n[np.concatenate([b, a])], minlength=len(place)).astype(np.int64)
+    return cls[at], rep[at], links, root[np.searchsorted(ids, rep[at])]

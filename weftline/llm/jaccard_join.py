@@ -15,14 +15,22 @@ from weftline.llm.common import (
 )
 from weftline.plans.stages import Stages
 
-#: Bands and values of a band: a pair at 0.8 shares no band with probability 5e-8. Classes of one bucket in a task.
-BANDS, VALUES, BLOCK = 32, 4, 256
-HASHES = BANDS * VALUES
+#: MinHash values; the chance with which banding may miss a pair at the threshold; classes of one bucket in a task.
+HASHES, MISS, BLOCK = 128, 1e-6, 256
 #: MinHash values after which a pair is judged again.
 STEPS = (16, 32, 64, 128)
 _FACTORS = np.random.default_rng(1).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, values of a band): the longest bands of which a pair at the threshold shares none with a chance of MISS at most."""
+    for values in range(HASHES, 0, -1):
+        bands = HASHES // values
+        if (1 - threshold**values) ** bands <= MISS:
+            return bands, values
+    raise ValueError(f"{HASHES} MinHash values can't find pairs at a similarity of {threshold}")
+
+
 @lru_cache
 def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     """For each of STEPS, the fewest matches that keep a pair.
@@ -54,8 +62,10 @@ def jaccard_join(
     reach, and kept says that it is the document's own.
 
     1. Documents with equal sets are one class; from here on classes are compared.
-    2. Classes that agree in a band of MinHash values are candidates. Buckets of
-       one class go first, by keys alone.
+    2. Classes that agree in a band of MinHash values are candidates. The length of
+       bands follows from the threshold (see ``banding``): at 0.8, 32 bands of 4
+       miss a pair with probability 5e-8. Buckets of one class go first, by keys
+       alone.
     3. In a bucket, pairs compare their values step by step and are dropped once
        the posterior probability of reaching the threshold is below
        ``tolerance``. A pair that several buckets hold belongs to its first band.
@@ -67,9 +77,12 @@ def jaccard_join(
     A text without words (null, empty, white space) has no shingles and links
     with nothing. A row without a doc_id takes no part: class_id null, n_links 0,
     kept. Repeated rows are documents of their own that link with each other;
-    rows that share an id share a class. Further columns are ignored. An empty
-    table gives an empty result.
+    rows that share an id share a class. Whole texts count, however long: a task
+    holds the shingles of one at a time. Further columns are ignored. An empty
+    table gives an empty result. Thresholds that 128 MinHash values can't serve
+    (about 0.1 and less) raise.
     """
+    n_bands, values = banding(threshold)
     spark = docs.sparkSession
     stages = Stages(spark)
     width = partitions(spark)
@@ -80,11 +93,12 @@ def jaccard_join(
     classes = stages.write(
         signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     )
-    start = F.col("band") * 4 * VALUES + 1
-    bands = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
-        "cls", "band", F.xxhash64("band", F.substring("sig", start, F.lit(4 * VALUES))).alias("bucket")
+    start = F.col("band") * 4 * values + 1
+    bands = classes.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("band")).select(
+        "cls", "band", F.xxhash64("band", F.substring("sig", start, F.lit(4 * values))).alias("bucket")
     )
-    full = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # staged before they are joined, so that adaptive execution can split a bucket with many classes
+    full = stages.write(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     met = bands.join(full, "bucket").withColumns({"mine": F.pmod(F.xxhash64("cls"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     met = met.select(
@@ -94,7 +108,7 @@ def jaccard_join(
     tiles = met.join(classes, "cls").repartition(width, "tile").sortWithinPartitions("tile", "cls")
     kept = stages.write(
         tiles.mapInArrow(
-            partial(_prune, least=least_matches(threshold, tolerance)), "tile long, cls binary, rep long, n long, pos int, partners binary"
+            partial(_prune, least=least_matches(threshold, tolerance), bands=n_bands, values=values), "tile long, cls binary, rep long, n long, pos int, partners binary"
         )
     )
 
@@ -109,6 +123,7 @@ def jaccard_join(
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
     found = classes.select("cls", "rep", "n").join(counted, "cls", "left").join(part, F.col("rep") == F.col("node"), "left")
     found = found.select("cls", F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = stages.write(found)  # so that adaptive execution can split a class of many copies
     some = signed.where("cls is not null").select("doc_id", "cls").join(found, "cls").select("doc_id", "class_id", "n_links")
     none = signed.where("cls is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     idle = rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -186,7 +201,7 @@ def _pairs(tiles: np.ndarray, mine: np.ndarray, same: np.ndarray):
 
 
 @releasing
-def _prune(batches, least):
+def _prune(batches, least, bands, values):
     """Of each tile, the classes that are left with partners, as positions among these classes."""
     for table in whole_groups(batches, "tile"):
         tiles, mine, same, band = (take(table, c) for c in ("tile", "mine", "same", "band"))
@@ -202,7 +217,7 @@ def _prune(batches, least):
                 if not len(a):
                     break
             if len(a):
-                first = (sig[a] == sig[b]).reshape(-1, BANDS, VALUES).all(2).argmax(1)
+                first = (sig[a, : bands * values] == sig[b, : bands * values]).reshape(-1, bands, values).all(2).argmax(1)
                 own = first == band[a]
                 left.append(a[own])
                 right.append(b[own])
@@ -215,7 +230,7 @@ def _prune(batches, least):
         order = np.argsort(a, kind="stable")
         partner = pos[np.searchsorted(rows, b[order])].astype(np.uint16)
         ends = np.searchsorted(a[order], rows, side="right")
-        parts = [partner[x:y].tobytes() for x, y in zip(np.searchsorted(a[order], rows), ends, strict=True)]
+        parts = [_listed(partner[x:y]) for x, y in zip(np.searchsorted(a[order], rows), ends, strict=True)]
         out = table.select(["tile", "cls", "rep", "n"]).take(pa.array(rows)).combine_chunks()
         yield pa.RecordBatch.from_arrays(
             [*(c.chunk(0) for c in out.columns), pa.array(pos, pa.int32()), pa.array(parts, pa.binary())],
@@ -223,6 +238,20 @@ def _prune(batches, least):
         )
 
 
+def _listed(places: np.ndarray) -> bytes:
+    """Places of partners as a list, or as a bitmap where that is shorter: a tile has a bounded number of classes."""
+    bits = np.zeros(int(places.max(initial=0)) + 1, np.uint8)
+    bits[places] = 1
+    bits = np.packbits(bits).tobytes()
+    return b"L" + places.tobytes() if 2 * len(places) <= len(bits) else b"B" + bits
+
+
+def _places(data: bytes) -> np.ndarray:
+    if data[:1] == b"L":
+        return np.frombuffer(data, np.uint16, offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+
+
 @releasing
 def _shingle_rows(batches, words, bits):
     cache = WordHashes()
@@ -265,9 +294,9 @@ def _verify(batches, threshold):
         starts = starts_of(tiles)
         out = []
         for s, e in zip(starts, starts[1:], strict=False):
-            others = [np.frombuffer(p, np.uint16) for p in partners[s:e]]
+            others = [_places(p) for p in partners[s:e]]
             a = np.repeat(np.arange(e - s), list(map(len, others)))
-            b = np.concatenate(others).astype(np.int64)
+            b = np.concatenate(others)
             sets = [np.frombuffer(unpack(x), np.uint64) for x in data[s:e]]
             sizes = np.array(list(map(len, sets)))
             both = intersections(sets, a, b)

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, releasing, starts_of, take, whole_groups
+from weftline.plans.stages import Stages
 
-#: Documents of a shard, on average.
-SHARD = 4096
+#: Documents of a shard, on average; rows of one id that stay in one shard.
+SHARD, REPEATS = 4096, 8
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +41,8 @@ def best_fit_pack(
     has one piece of length 0.
 
     Documents are dealt by a hash of their id into shards of about SHARD, which
-    are packed on their own; a hot source or cluster is dealt evenly. A shard
+    are packed on their own; a hot source or cluster is dealt evenly, and so are
+    the rows of an id that has more than a few. A shard
     takes its pieces longest first. Its open bins are sorted by what is left in
     them, and carry bitmaps of their sources and clusters; the search starts at
     the tightest bin that a piece fits and goes on to the next larger until the
@@ -49,19 +51,26 @@ def best_fit_pack(
     bin is unique over all shards: shard * 2^32 + number. A null source is a
     source that conflicts with nothing; a null text has length 0; a null id is
     dealt by its text; repeated rows are documents of their own, of one cluster.
+    A very long text is measured as it streams by; only lengths are shuffled.
     Further columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-docs.count() // SHARD))
+    stages = Stages(spark)
     text = F.col(text_col)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), text)), F.lit(shards)).alias("shard"),
+        F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), text)).alias("key"),
+        F.monotonically_increasing_id().alias("number"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.greatest(F.coalesce((word_count(text) if length is None else length).cast("long"), F.lit(0)), F.lit(0)).alias("length"),
         F.xxhash64(F.col(source_col)).alias("source"),
         F.col(source_col).isNotNull().alias("sourced"),
         F.coalesce(same_text(text) if cluster is None else cluster.cast("long"), F.lit(0)).alias("cluster"),
     )
+    rows = stages.write(rows)  # a few numbers a document; written, so that the row numbers hold
+    shards = max(1, -(-rows.count() // SHARD))
+    many = stages.write(rows.groupBy("key").agg(F.count("*").alias("times")).where(f"times > {REPEATS}").select("key", F.lit(True).alias("often")))
+    own = F.xxhash64("key", F.when(F.col("often"), F.col("number")))
+    rows = rows.join(many, "key", "left").withColumn("shard", F.pmod(own, F.lit(shards))).drop("key", "number", "often")
     dealt = rows.repartition(min(shards, max(partitions(spark), 1)), "shard").sortWithinPartitions(
         "shard", F.desc("length"), "doc_id", "cluster", "source"
     )

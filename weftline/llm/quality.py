@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import releasing, text_parts, with_column
-from weftline.llm.labels import labelled_sample, part
+from weftline.llm.labels import labelled_sample, one_each, part
 from weftline.plans.stages import Stages
 
 #: Random features, bins of the calibration, and tasks whose sums the driver adds (0.7 MB each).
@@ -94,17 +94,30 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
+def _held(pick: str) -> Column:
+    """The fifth of a sample that calibrates."""
+    return F.pmod(F.xxhash64(pick, F.lit(5)), F.lit(5)) == 0
+
+
+def _ridge(total: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights from the sums z'z, the last row of which is z'y."""
+    size = total.shape[1]
+    n = max(total[size - 1, size - 1], 1.0)
+    return np.linalg.solve(total[:size] + ridge * n * np.eye(size) / FEATURES, total[size])
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, target="quality", most=40_000, ridge=1e-3) -> QualityModel:
     """Learned from a sample of about ``most`` labelled rows for which ``train`` holds.
 
     The statistics of the sample are computed where the texts are read and
     staged. Each of a fixed number of tasks sums its normal equations, the
-    driver adds and solves them, and the calibration sees counts by bin.
+    driver adds and solves them. A fifth of the sample, held out from a first
+    solution, calibrates by counts in bins; the final weights are of all rows.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     sample = labelled_sample(docs, labels, target, train, most)
-    rows = stages.write(sample.mapInArrow(_sample_statistics, "y int, x array<double>"))
+    rows = stages.write(one_each(sample.mapInArrow(_sample_statistics, "y int, pick long, hash long, x array<double>"), "x"))
     moments = rows.select([F.avg(F.col("x")[i]) for i in range(WIDTH)] + [F.stddev_pop(F.col("x")[i]) for i in range(WIDTH)]).first()
     if moments[0] is None:
         stages.drop(rows)
@@ -112,20 +125,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, target="qu
     mean, scale = np.array(moments[:WIDTH]), np.array(moments[WIDTH:])
     model = QualityModel(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(FEATURES + 1), np.zeros(0), np.zeros(0))
     size = FEATURES + 1
-    sums = rows.coalesce(TASKS).mapInArrow(partial(_normal_equations, model=model), "sums binary")
-    total = np.zeros((size + 1, size))
+    sums = rows.select("y", "x", _held("pick").alias("held")).coalesce(TASKS).mapInArrow(partial(_normal_equations, model=model), "held boolean, sums binary")
+    total = {True: np.zeros((size + 1, size)), False: np.zeros((size + 1, size))}
     for row in sums.collect():
-        total += np.frombuffer(row.sums).reshape(size + 1, size)
-    n = total[size - 1, size - 1]
-    model.weights = np.linalg.solve(total[:size] + ridge * n * np.eye(size) / FEATURES, total[size])
+        total[row.held] += np.frombuffer(row.sums).reshape(size + 1, size)
+    model.weights = _ridge(total[False], ridge)  # the calibration sees scores of rows that these weights were not learned from
     bins = (
-        rows.mapInArrow(partial(_raw_scores, model=model), "y int, raw double")
+        rows.where(_held("pick")).mapInArrow(partial(_raw_scores, model=model), "y int, raw double")
         .groupBy(F.floor(F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) * BINS).alias("bin"))
         .agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n"))
         .orderBy("bin")
         .collect()
     )
+    model.weights = _ridge(total[False] + total[True], ridge)
     raw, y, n = (np.array([float(r[k]) for r in bins]) for k in ("raw", "y", "n"))
+    if not len(raw):  # hardly any rows: the mean is the score
+        raw, y, n = (np.array([v]) for v in (0.0, rows.agg(F.avg("y")).first()[0], 1.0))
     level = isotonic(y, n)
     ends = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
     model.knots = np.array([np.average(raw[a:b], weights=n[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
@@ -162,7 +177,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _sample_statistics(batches):
     for batch in batches:
         x = [statistics(t) for _, _, texts in text_parts(batch, "text", 1 << 20) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+        own = [batch.column(c) for c in ("y", "pick", "hash")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(x, pa.list_(pa.float64()))], ["y", "pick", "hash", "x"])
 
 
 def _matrix(batch) -> np.ndarray:
@@ -171,12 +187,15 @@ def _matrix(batch) -> np.ndarray:
 
 @releasing
 def _normal_equations(batches, model):
-    total = np.zeros((FEATURES + 2, FEATURES + 1))
+    total = np.zeros((2, FEATURES + 2, FEATURES + 1))
     for batch in batches:
         z, y = model.features(_matrix(batch)), batch.column("y").to_numpy(zero_copy_only=False)
-        total[:-1] += z.T @ z
-        total[-1] += z.T @ y
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        held = batch.column("held").to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            own = z[held == bool(k)]
+            total[k, :-1] += own.T @ own
+            total[k, -1] += own.T @ y[held == bool(k)]
+    yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array([x.tobytes() for x in total], pa.binary())], ["held", "sums"])
 
 
 @releasing

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, mix, pack, releasing, take, text_parts, unpack, with_column
-from weftline.llm.labels import labelled_sample, part
+from weftline.llm.labels import labelled_sample, one_each, part
 
 BITS = 20  # of a feature: 4 MiB of weights are broadcast, whatever the data
 BIAS = 0
@@ -80,13 +80,18 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of the logistic curve 1 / (1 + exp(-(a * score + b))) that fits labels best, with smoothed targets."""
+def calibration(score: np.ndarray, y: np.ndarray, prior: float = 5.0) -> tuple[float, float]:
+    """(a, b) of the logistic curve 1 / (1 + exp(-(a * score + b))) that fits labels best, with smoothed targets.
+
+    A penalty of ``prior`` holds them near (1, 0), which few rows hardly move.
+    """
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x, found = np.column_stack([score, np.ones(len(score))]), np.array([1.0, 0.0])
+    x, start = np.column_stack([score, np.ones(len(score))]), np.array([1.0, 0.0])
+    found = start.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ found, -35, 35)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + 1e-3 * np.eye(2), x.T @ (p - t))
+        slope = x.T @ (p - t) + prior * (found - start)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + prior * np.eye(2), slope)
         found -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -102,7 +107,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, target="t
     All zeros if there is nothing to learn from.
     """
     sample = labelled_sample(docs, labels, target, train, most)
-    features = sample.mapInArrow(_features, "y int, pick long, features binary")
+    features = one_each(sample.mapInArrow(_features, "y int, pick long, hash long, features binary"), "features")
     learned = features.repartition(1).sortWithinPartitions("pick", "y").mapInArrow(
         partial(_learn, rounds=rounds), "feature int, weight double"
     )
@@ -146,10 +151,8 @@ def _features(batches):
             at, index = found >> BITS, (found & ((1 << BITS) - 1)).astype(np.uint32)
             ends = np.searchsorted(at, np.arange(hi - lo + 1))
             rows = [pack(np.diff(index[a:b], prepend=np.uint32(0)).tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y").slice(lo, hi - lo), batch.column("pick").slice(lo, hi - lo), pa.array(rows, pa.binary())],
-                ["y", "pick", "features"],
-            )
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("y", "pick", "hash")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows, pa.binary())], ["y", "pick", "hash", "features"])
 
 
 def _present(data: bytes) -> np.ndarray:
@@ -169,13 +172,13 @@ def _learn(batches, rounds):
     for batch in batches:
         rows += batch.column("features").to_pylist()
         ys += take(batch, "y").tolist()
+    if not rows:
+        return
     y = np.array(ys)
-    scale, shift = 1.0, 0.0
-    if y[::5].sum() >= 10:
-        first, held = Ftrl(), range(0, len(rows), 5)
-        _fit(first, [k for k in range(len(rows)) if k % 5], rows, ys, rounds)
-        w = first.weights()
-        scale, shift = calibration(np.array([w[_present(rows[k])].sum() for k in held]), y[::5])
+    first, held = Ftrl(), range(0, len(rows), 5)
+    _fit(first, [k for k in range(len(rows)) if k % 5], rows, ys, rounds)
+    w = first.weights()
+    scale, shift = calibration(np.array([w[_present(rows[k])].sum() for k in held]), y[::5])
     model = Ftrl()
     _fit(model, range(len(rows)), rows, ys, rounds)
     w = scale * model.weights()

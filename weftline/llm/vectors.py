@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which rows are vectors of dim finite components, those rows as doubles)."""
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as doubles) for each length; vectors that are null, empty or not finite are left out."""
     column = column.cast(pa.list_(pa.float64()))
-    lengths = np.asarray(column.value_lengths().fill_null(-1))
-    right = lengths == dim
-    flat = column.filter(pa.array(right)).flatten()
-    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim) if dim else np.zeros((0, 0))
-    finite = np.isfinite(x).all(axis=1)  # a null component reads as NaN
-    right[right] = finite
-    return right, x[finite]
-
-
-def sample_vectors(rows: DataFrame, column: str, key: str, most: int) -> np.ndarray:
-    """About ``most`` vectors by a hash of their id, or all if there are fewer; of the most frequent length only."""
-    known = rows.select(F.col(column).cast("array<double>").alias("x"), F.xxhash64(key).alias("h")).where("size(x) > 0")
-    known = known.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    n = known.count()
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == n)
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        finite = np.isfinite(x).all(axis=1)  # a null component reads as NaN
+        yield rows[finite], x[finite]
+
+
+def fitted(x: np.ndarray, dim: int) -> np.ndarray:
+    """The first ``dim`` components, with zeros for those that are missing.
+
+    Two vectors of one length are at least as far from each other as what is
+    left of them, so bounds on these distances hold for vectors of any length.
+    """
+    return x[:, :dim] if x.shape[1] >= dim else np.pad(x, ((0, 0), (0, dim - x.shape[1])))
+
+
+def sample_vectors(rows: DataFrame, column: str, most: int) -> tuple[np.ndarray, int]:
+    """(about ``most`` different vectors by a hash of their components, or all if there are fewer; how many there are).
+
+    Of the most frequent length only. Repeated vectors count once, so the
+    sample is bounded whatever is repeated.
+    """
+    known = rows.select(F.col(column).cast("array<double>").alias("x")).where("size(x) > 0")
+    known = known.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).withColumn("h", F.xxhash64("x"))
+    n = known.select(F.approx_count_distinct("h", 0.02)).first()[0]
     if n > most:
         known = known.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * most / n))
-    found = [r.x for r in known.orderBy("h").select("x").collect()]  # about ``most`` rows
+    found = [r.x for r in known.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").collect()]  # about ``most`` rows
     if not found:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), 0
     lengths = np.array([len(x) for x in found])
     dim = np.bincount(lengths).argmax()
-    return np.array([x for x in found if len(x) == dim])
+    return np.array([x for x in found if len(x) == dim]), n
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
