@@ -52,6 +52,18 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_integers(values: np.ndarray) -> bytes:
+    """Integers packed byte by byte, most of which are alike."""
+    return pack(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()) if len(values) else b""
+
+
+def unpack_integers(data: bytes, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def text_parts(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) of parts of a batch that hold about ``most`` bytes at most, or one text; null counts as empty.
 
@@ -228,8 +240,17 @@ def take(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """A name that no column has, in whatever case."""
+    used = {c.lower() for c in docs.columns}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def with_column(docs: DataFrame, name: str, kind: str, make, *, text_col: str) -> DataFrame:
-    """``docs`` with a column that ``make()``, called once a task, computes from a list of texts."""
+    """``docs`` with a column that ``make()``, called once a task, computes from a list of texts; one of that name is replaced."""
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
 
     @releasing

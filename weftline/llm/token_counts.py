@@ -7,17 +7,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import encoder, read_tokenizer
-from weftline.llm.common import pack, partitions, releasing, take, text_parts, unpack
+from weftline.llm.common import pack, pack_integers, partitions, releasing, take, text_parts, unpack, unpack_integers
+from weftline.plans.stages import Stages
 
-#: Characters of text in a block, and pre-tokens that a task remembers.
-BLOCK, REMEMBER = 8 << 20, 300_000
-_ROW = "block string, part int, n int, data binary, counts binary, pairs binary"
+#: Bytes of text in a block.
+BLOCK = 8 << 20
+_OWN = -1
 
 
 def count_tokens(
@@ -25,143 +25,111 @@ def count_tokens(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document.
 
-    Each block of documents is split once into its distinct pre-tokens and its
-    documents' frequencies of them. The pre-tokens meet by hash: the task that
-    owns a hash counts the pieces of each distinct pre-token once and multiplies
-    them into the frequencies, so a document gets one sum from each part and no
-    ids are ever held. A pre-token that every document holds is one entry of a
-    block, so nothing is skewed by it.
+    Documents' frequencies of pre-tokens are kept in blocks: a row with the
+    packed frequencies of the block's documents, and a row (block, place, token)
+    for each of its distinct pre-tokens. The distinct pre-tokens of all blocks
+    are a table of their own, the pieces of each are counted once, and the counts
+    are joined to the blocks' rows, from which each document gets its sum. No
+    ids are ever held. A pre-token that every document holds is one row of a
+    block, and the join is one that adaptive execution can split.
 
     ``tokenizer`` is a byte-level BPE of the ``tokenizers`` library. Its special
     strings in a text count as one token each, as is the library's default.
 
-    A null text counts as an empty one: 0 bytes, 0 tokens. Rows are independent,
-    so repeated rows, repeated ids and null ids return as many rows. Columns
-    besides these two are ignored. An empty table gives an empty result.
+    A null text counts as an empty one: 0 bytes, 0 tokens. A very long text is a
+    block of its own. Rows are independent, so repeated rows, repeated ids and
+    null ids return as many rows. Columns besides these two are ignored. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
+    stages = Stages(spark)
     source = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
-    width = partitions(spark)
-    parts = min(256, width)
-    spread = max(1, width // parts)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(partial(_blocks, source=source, parts=parts), _ROW)
-    key = F.when(F.col("part") >= 0, F.col("part") * spread + F.pmod(F.xxhash64("block"), F.lit(spread)))
-    dealt = blocks.repartition(width, F.coalesce(key, F.xxhash64("block")))
-    sums = dealt.mapInArrow(partial(_pieces, source=source), "block string, part int, n int, data binary")
-    whole = sums.repartition(width, "block").sortWithinPartitions("block", "part")
-    out = whole.mapInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
+    blocks = stages.write(rows.mapInArrow(partial(_blocks, source=source), "block long, place int, token string, data binary"))
+    tokens = blocks.where("place >= 0").select("block", "place", "token")
+    pieces = stages.write(tokens.select("token").distinct().mapInArrow(partial(_pieces, source=source), "token string, n int"))
+    counted = tokens.join(pieces, "token").select("block", "place", "n", F.lit(None).cast("binary").alias("data"))
+    own = blocks.where("place < 0").select("block", "place", F.lit(0).alias("n"), "data")
+    met = counted.unionByName(own).repartition(partitions(spark), "block").sortWithinPartitions("block", "place")
+    out = met.mapInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 @releasing
-def _blocks(batches, source, parts: int):
-    """A row (part -1) with the block's documents and, for each part, its pre-tokens and frequencies."""
+def _blocks(batches, source):
+    """A row with the block's documents and their frequencies, and one for each of its pre-tokens."""
     enc = encoder(source.value)
-    task, number = TaskContext.get().partitionId(), 0
+    block = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, hi, texts in text_parts(batch, "text", BLOCK):
             index: dict[str, int] = {}
-            docs, words, times, base, size = [], [], [], [], []
-            for i, text in enumerate(texts):
+            words, times, base, size = [], [], [], []
+            for text in texts:
                 tokens, special = enc.pre_tokens(text)
                 found = Counter(tokens)
+                place = np.fromiter((index.setdefault(t, len(index)) for t in found), np.uint32, len(found))
+                order = np.argsort(place)
+                words.append(np.diff(place[order], prepend=np.uint32(0)))  # small numbers
+                times.append(np.fromiter(found.values(), np.uint32, len(found))[order])
                 base.append(special)
                 size.append(len(text.encode()))
-                docs.append(np.full(len(found), i, np.uint32))
-                words.append(np.fromiter((index.setdefault(t, len(index)) for t in found), np.uint32, len(found)))
-                times.append(np.fromiter(found.values(), np.uint32, len(found)))
-            block = f"{task}-{number}"
-            number += 1
-            yield _own(block, ids[lo:hi], size, base)
-            yield from _parts(block, hi - lo, list(index), *map(np.concatenate, (docs, words, times)), parts)
-
-
-def _own(block, ids, size, base):
-    valid = np.asarray(ids.is_valid())
-    data = np.array([np.asarray(ids.fill_null(0)), valid, size, base], np.int64).tobytes()
-    return _record([(block, -1, len(base), pack(data), b"", b"")])
-
-
-def _parts(block, n, names, docs, words, times, parts):
-    where = np.fromiter((xxhash.xxh32_intdigest(t) % parts for t in names), np.uint32, len(names))
-    order = np.argsort(where, kind="stable")
-    place = np.empty(len(order), np.uint32)  # of a pre-token within its part
-    starts = np.searchsorted(where[order], np.arange(parts + 1))
-    place[order] = np.arange(len(order)) - starts[where[order]]
-    by = np.argsort(where[words], kind="stable")
-    ends = np.searchsorted(where[words][by], np.arange(parts + 1))
-    rows = []
-    for p in range(parts):
-        own, pairs = order[starts[p] : starts[p + 1]], by[ends[p] : ends[p + 1]]
-        if not len(own):
-            continue
-        spelled = [names[i].encode() for i in own]
-        lengths = np.array([len(x) for x in spelled], np.uint32).tobytes()
-        d, w, t = docs[pairs], place[words[pairs]], times[pairs]
-        # documents ascend within a part, so steps are small numbers
-        packed = np.diff(d, prepend=np.uint32(0)).tobytes() + w.tobytes() + t.tobytes()
-        rows.append((block, p, n, pack(b"".join(spelled)), pack(lengths), pack(packed)))
-    yield _record(rows)
-
-
-def _record(rows):
-    names = ["block", "part", "n", "data", "counts", "pairs"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            own = ids[lo:hi]
+            head = np.array([np.asarray(own.fill_null(0)), np.asarray(own.is_valid()), size, base, list(map(len, words))], np.int64)
+            parts = [pack(head.tobytes()), pack_integers(np.concatenate(words)), pack_integers(np.concatenate(times))]
+            lengths = np.array([hi - lo, *map(len, parts[:2])], np.int64).tobytes()
+            yield _rows([block], [_OWN], [None], [lengths + b"".join(parts)])
+            names = list(index)
+            for at in range(0, len(names), 20_000):
+                some = names[at : at + 20_000]
+                yield _rows([block] * len(some), list(range(at, at + len(some))), some, [None] * len(some))
+            block += 1
+
+
+def _rows(block, place, token, data):
+    columns = [pa.array(block, pa.int64()), pa.array(place, pa.int32()), pa.array(token, pa.string()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "place", "token", "data"])
 
 
 @releasing
 def _pieces(batches, source):
-    """For each block and part, the documents' sums of pieces."""
     enc = encoder(source.value)
-    known: dict[bytes, int] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            data = row["data"]
-            if row["part"] >= 0:
-                ends = np.cumsum(np.frombuffer(unpack(row["counts"]), np.uint32).astype(np.int64)).tolist()
-                text = unpack(data)
-                names = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                if len(known) > REMEMBER:
-                    known.clear()
-                new = [x for x in names if x not in known]
-                known.update(zip(new, enc.piece_counts([x.decode() for x in new]), strict=True))
-                pieces = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-                d, w, t = np.frombuffer(unpack(row["pairs"]), np.uint32).reshape(3, -1)
-                sums = np.bincount(np.cumsum(d), weights=pieces[w] * t, minlength=row["n"])
-                data = pack(sums.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_pylist(
-                [{"block": row["block"], "part": row["part"], "n": row["n"], "data": data}],
-                pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary())]),
-            )
+        n = enc.piece_counts(batch.column("token").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(n, pa.int32())], ["token", "n"])
 
 
 @releasing
 def _documents(batches):
-    """The documents of each block with all their sums; a block's own row comes first."""
-    own = total = None
-    name = None
+    """The documents of each block, whose own row comes first and then the counts of its pre-tokens in order."""
+    own, counts, name = None, [], None
 
     def out():
-        ids, valid, size, base = own
+        n, a, b = np.frombuffer(own[:24], np.int64).tolist()
+        ids, valid, size, base, entries = np.frombuffer(unpack(own[24 : 24 + a]), np.int64).reshape(5, n)
+        steps, times = unpack_integers(own[24 + a : 24 + a + b], np.uint32), unpack_integers(own[24 + a + b :], np.uint32)
+        ends = np.cumsum(entries)
+        total = np.cumsum(steps, dtype=np.int64)
+        before = np.concatenate([[0], total])[ends - entries]  # each document's places begin anew
+        place = total - np.repeat(before, entries)
+        pieces = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(pieces[place].astype(np.int64) * times)])
+        found = base + sums[ends] - sums[ends - entries]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=valid == 0), pa.array(size, pa.int64()), pa.array(base + total, pa.int64())],
+            [pa.array(ids, pa.int64(), mask=valid == 0), pa.array(size, pa.int64()), pa.array(found, pa.int64())],
             ["doc_id", "n_bytes", "n_tokens"],
         )
 
     for batch in batches:
-        blocks, parts = batch.column("block").to_pylist(), take(batch, "part")
-        for block, part, data in zip(blocks, parts, batch.column("data").to_pylist(), strict=True):
-            values = np.frombuffer(unpack(data), np.int64)
-            if block != name:
-                if name is not None:
-                    yield out()
-                name, own, total = block, values.reshape(4, -1), 0
-                assert part == -1
-            else:
-                total = total + values
+        block, place, n = (take(batch, c) for c in ("block", "place", "n"))
+        firsts = np.flatnonzero(place == _OWN)
+        if name is not None:
+            stop = firsts[0] if len(firsts) else len(block)
+            counts.append(n[:stop])
+        for k, at in enumerate(firsts):
+            if name is not None:
+                yield out()
+            name, own = int(block[at]), batch.column("data")[int(at)].as_py()
+            counts = [n[at + 1 : firsts[k + 1] if k + 1 < len(firsts) else len(block)]]
     if name is not None:
         yield out()
