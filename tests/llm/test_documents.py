@@ -113,14 +113,15 @@ def test_suffix_intervals(spark, seed):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == deduped(rows, 5)
 
 
-def backoff(rows, alpha=0.4):
+def backoff(rows, alpha=0.4, leave_out=True):
     texts = [(t or "").lower().split() for _, t in rows]
     own = [[Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2, 3)] for w in texts]
     total = [sum((o[n] for o in own), Counter()) for n in range(3)]
     big = sum(map(len, texts))
     out = []
     for (i, _), w, o in zip(rows, texts, own, strict=True):
-        rest, score = max(big - len(w), 1), 0.0
+        o = o if leave_out else [Counter()] * 3
+        rest, score = max(big - len(w) * leave_out, 1), 0.0
         for k in range(len(w)):
             for n in (3, 2, 1):
                 gram = tuple(w[k - n + 1 : k + 1])
@@ -138,12 +139,30 @@ def backoff(rows, alpha=0.4):
 def test_backoff_scores(docs, none):
     from weftline.llm.lm_score import backoff_scores
 
-    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff_scores(docs).collect()), key=str)
-    want = backoff(documents())
-    assert sorted((g[0] or -1, g[1], round(g[2], 3)) for g in got) == sorted((w[0] or -1, w[1], round(w[2], 3)) for w in want)
+    for leave_out in (True, False):
+        got = backoff_scores(docs, leave_out=leave_out).collect()
+        want = backoff(documents(), leave_out=leave_out)
+        assert sorted((g.doc_id or -1, g.n_words, round(g.log_score, 3)) for g in got) == sorted((w[0] or -1, w[1], round(w[2], 3)) for w in want)
+        assert all(abs(g.score * g.n_words - g.log_score) < 1e-2 * max(1, g.n_words) for g in got)
     assert backoff_scores(none).count() == 0
 
 
+def test_backoff_scores_in_many_parts(spark, tmp_path, monkeypatch):
+    """Small blocks and parts, an input straight from files and one that passes through a shuffle."""
+    from weftline.llm import lm_score as module
+
+    monkeypatch.setattr(module, "PART", 5000)
+    monkeypatch.setattr(module, "BLOCK", 3000)
+    rows = documents()
+    frame(spark, rows).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted((w[0] or -1, w[1], round(w[2], 3)) for w in backoff(rows))
+    for docs in (files, files.repartition(3)):
+        assert module._from_files(docs.select("doc_id", "text")) == (docs is files)
+        got = module.backoff_scores(docs).collect()
+        assert sorted((g.doc_id or -1, g.n_words, round(g.log_score, 3)) for g in got) == want
+
+
 def test_token_counts(docs, none, tokenizer):
     from weftline.llm.token_counts import count_tokens
 

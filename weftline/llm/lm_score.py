@@ -6,66 +6,87 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, gram_hashes, pack, partitions, releasing, starts_of, take, text_parts, unpack, whole_groups
+from weftline.llm.common import WordHashes, gram_hashes, pack, pack_integers, partitions, releasing, starts_of, take, text_parts, unpack, unpack_integers, whole_groups
 from weftline.plans.stages import Stages
 
-#: Characters of text in a block.
-BLOCK = 6 << 20
+#: Bytes of text in a block, and those whose n-grams one part of the count tables holds, on average.
+BLOCK, PART = 6 << 20, 24 << 20
 _OWN = -1
 _ROW = "block string, part int, data binary, counts binary"
 
 
-def backoff_scores(docs: DataFrame, *, order=3, alpha=0.4, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_words, log_score) of every document.
+def backoff_scores(docs: DataFrame, *, order=3, alpha=0.4, leave_out=True, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, n_words, log_score, score) of every document.
 
     Each word is scored by S(w | context) = c(context w) / c(context) where that
     n-gram was counted, else by ``alpha`` times the score with a context shorter
     by a word, and without a context by c(w) / N; a word that was not counted at
-    all gets alpha ** order / N. Counts are those of all other documents: the
-    whole corpus, less the document's own. log_score is the sum of the natural
-    logarithms, rounded to 6 places; words are lower-cased and separated by white
-    space.
-
-    The count tables are partitioned by n-gram hash (64 bits). A block of
-    documents sends each of its distinct n-grams once, with its count, to the
-    task that owns the hash; that task adds the counts of all blocks and sends
-    each block the totals of its n-grams; the block's documents look up their
-    n-grams and sum. An n-gram that all documents share is one entry of a block.
-    A task holds the n-grams of one hash range, a share 1 / shuffle.partitions of
-    those of the corpus.
-
-    A text without words (null, empty, white space) has n_words 0 and score 0.
+    all gets alpha ** order / N. With ``leave_out``, counts are those of all other
+    documents: the whole corpus, less the document's own; with its own counts
+    each of its n-grams has been seen, so that the model would never back off.
+    log_score is the sum of the natural logarithms and score their mean, rounded
+    to 6 places; words are lower-cased and separated by white space.
+
+    The count tables are partitioned by n-gram hash, in parts whose number grows
+    with the corpus. The n-grams of the documents are exploded in blocks: a block
+    sends each of its distinct n-grams once, with its count, to the part that owns
+    the hash. There the counts of all blocks are summed into that part of the
+    table, which is joined to the n-grams that were sent, and each block gets the
+    totals of its n-grams; its documents sum. An n-gram that all documents share
+    is one entry of a block. A task holds one part of the table at a time.
+
+    Hashes have 64 bits: among 10^12 different n-grams about one in 10^7 shares
+    its hash and has too high a count. A text without words (null, empty, white
+    space) has n_words 0 and scores 0. A very long text is a block of its own.
     Repeated rows count as documents of their own; null ids stay null; further
     columns are ignored; an empty table gives an empty result. The input is read
-    twice and has to be the same each time, as files and staged tables are.
+    more than once; unless it comes straight from files, it is staged first, so
+    that all reads are alike.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     width = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(partial(_send, order=order, parts=width), _ROW)
-    totals = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_add, _ROW)
+    if not _from_files(rows):
+        rows = stages.write(rows)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART))
+    sent = rows.mapInArrow(partial(_send, order=order, parts=parts), _ROW)
+    totals = sent.repartition(max(width, parts), "part").sortWithinPartitions("part").mapInArrow(_add, _ROW)
     own = rows.mapInArrow(_own, _ROW)
-    met = own.unionByName(totals).repartition(width, "block").sortWithinPartitions("block", "part")
+    met = own.unionByName(totals).repartition(max(width, parts), "block").sortWithinPartitions("block", "part")
     scored = stages.write(
-        met.mapInArrow(partial(_sum, order=order, alpha=alpha, parts=width), "doc_id long, n_words long, logs double, bare long")
+        met.mapInArrow(partial(_sum, order=order, alpha=alpha, parts=parts, leave_out=leave_out), "doc_id long, n_words long, logs double, bare long")
     )
     n = scored.agg(F.sum("n_words")).first()[0] or 0
-    others = F.greatest(F.lit(n) - F.col("n_words"), F.lit(1))  # the N of all other documents
-    return scored.select("doc_id", "n_words", F.round(F.col("logs") - F.col("bare") * F.log(others), 6).alias("log_score"))
+    others = F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)) if leave_out else F.lit(max(n, 1))  # the N of the counts
+    score = F.col("logs") - F.col("bare") * F.log(others)
+    mean = F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(0.0)
+    return scored.select("doc_id", "n_words", F.round(score, 6).alias("log_score"), F.round(mean, 6).alias("score"))
+
+
+def _from_files(rows: DataFrame) -> bool:
+    """Whether the rows are read from files and only projected or filtered, so that each read gives the same batches."""
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("(")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
+    return nodes[-1].startswith("Relation") and all(x in ("Project", "Filter") for x in nodes[:-1])
 
 
 def _blocks(batches):
-    """(name, ids, texts) of bounded blocks, named by task and number."""
+    """(name, ids, texts) of bounded blocks, named by task, number and content."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, hi, texts in text_parts(batch, "text", BLOCK):
-            yield f"{task}-{number}", ids[lo:hi], texts
+            content = xxhash.xxh3_64()
+            for text in texts:
+                content.update(text)
+            yield f"{task}-{number}-{content.hexdigest()}", ids[lo:hi], texts
             number += 1
 
 
@@ -91,16 +112,6 @@ def _record(rows):
     )
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers packed byte by byte, most of which are alike."""
-    return pack(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
-
-
-def unplanes(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
-
-
 def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
     """Where each part of the hashes, which are sorted, begins and ends."""
     edges = [(p << 64) // parts for p in range(1, parts)]
@@ -126,7 +137,7 @@ def _send(batches, order, parts):
         h, times, _ = _distinct(_grams(texts, order, cache)[2])
         ends = _ranges(h, parts)
         rows = [
-            (block, p, planes(np.diff(h[a:b], prepend=np.uint64(0))), planes(times[a:b].astype(np.uint32)))
+            (block, p, pack_integers(np.diff(h[a:b], prepend=np.uint64(0))), pack_integers(times[a:b].astype(np.uint32)))
             for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
             if b > a
         ]
@@ -144,16 +155,16 @@ def _add(batches):
         for a, b in zip(starts, starts[1:], strict=False):
             names, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for lo in range(a, b, 16):  # merge a few blocks at a time
-                got = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in data[lo : min(b, lo + 16)]]
-                more = [unplanes(x, np.uint32).astype(np.int64) for x in counts[lo : min(b, lo + 16)]]
+                got = [np.cumsum(unpack_integers(x, np.uint64), dtype=np.uint64) for x in data[lo : min(b, lo + 16)]]
+                more = [unpack_integers(x, np.uint32).astype(np.int64) for x in counts[lo : min(b, lo + 16)]]
                 h, n = np.concatenate([names, *got]), np.concatenate([total, *more])
                 order = np.argsort(h)
                 h, n = h[order], n[order]
                 first = starts_of(h)
                 names, total = h[first[:-1]], np.add.reduceat(n, first[:-1])
             for i in range(a, b):
-                h = np.cumsum(unplanes(data[i], np.uint64), dtype=np.uint64)
-                yield _record([(blocks[i], int(parts[i]), b"", planes(total[np.searchsorted(names, h)]))])
+                h = np.cumsum(unpack_integers(data[i], np.uint64), dtype=np.uint64)
+                yield _record([(blocks[i], int(parts[i]), b"", pack_integers(total[np.searchsorted(names, h)]))])
 
 
 @releasing
@@ -166,7 +177,7 @@ def _own(batches):
 
 
 @releasing
-def _sum(batches, order, alpha, parts):
+def _sum(batches, order, alpha, parts, leave_out):
     cache = WordHashes()
     own, totals = None, {}
 
@@ -175,7 +186,7 @@ def _sum(batches, order, alpha, parts):
         data, ends = unpack(own[0]), np.cumsum(lengths)
         texts = [data[b - n : b].decode() for b, n in zip(ends, lengths, strict=True)]
         doc, n_words, grams = _grams(texts, order, cache)
-        logs, bare = _scores(doc, len(texts), grams, totals, alpha, parts)
+        logs, bare = _scores(doc, len(texts), grams, totals, alpha, parts, leave_out)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64(), mask=valid == 0), pa.array(n_words, pa.int64()), pa.array(logs), pa.array(bare, pa.int64())],
             ["doc_id", "n_words", "logs", "bare"],
@@ -195,18 +206,22 @@ def _sum(batches, order, alpha, parts):
         yield out()
 
 
-def _scores(doc, n_docs, grams, totals, alpha, parts):
+def _scores(doc, n_docs, grams, totals, alpha, parts, leave_out):
     """For each document, the sum of the logarithms without those of N, and how often N divides."""
     if not len(doc):
         return np.zeros(n_docs), np.zeros(n_docs, np.int64)
     h, _, places = _distinct(grams)
     ends = _ranges(h, parts)
-    total = np.concatenate([unplanes(totals[p], np.int64) for p in range(parts) if ends[p + 1] > ends[p]])
+    total = np.concatenate([unpack_integers(totals[p], np.int64) for p in range(parts) if ends[p + 1] > ends[p]])
     if len(total) != len(h):
         raise ValueError("the documents were not the same when they were read again")
-    others = []  # for each order, the count in all other documents
+    others = []  # for each order, the count
     for (_, inside), at in zip(grams, places, strict=True):
         count = np.zeros(len(doc), np.int64)
+        if not leave_out:
+            count[inside] = total[at]
+            others.append(count)
+            continue
         more = np.flatnonzero(total[at] > 1)  # what occurs once is the document's own
         where = np.flatnonzero(inside)[more]
         key = doc[where] * len(h) + at[more]

@@ -170,5 +170,5 @@ WITH d AS (
     ELSE 3 * ln(0.4) - ln(greatest(n - own, 1)) END) AS score
   FROM p JOIN m USING (doc_id), t GROUP BY doc_id, own
 )
-SELECT d.doc_id, CAST(coalesce(own, 0) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score FROM d LEFT JOIN s USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(own, 0) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score, round(coalesce(score / own, 0), 6) AS score FROM d LEFT JOIN s USING (doc_id)
 """
