@@ -154,8 +154,9 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col="text", scor
 
     A null text counts as an empty one, which is scored by its statistics like
     any other. Rows are independent: repeated rows, repeated ids and null ids
-    return as they came; other columns pass through, under any names but that of
-    the score; an empty table gives an empty result.
+    return as they came; other columns pass through under any names, but one
+    named like the score is replaced. Whole texts are read, about 1 MB or one text
+    at a time. An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return with_column(docs, score_col, "double", partial(_scorer, held), text_col=text_col)
