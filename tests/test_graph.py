@@ -22,7 +22,7 @@ def rows(df, *columns):
     return {r[columns[0]]: (r[columns[1]] if len(columns) == 2 else tuple(r[c] for c in columns[1:])) for r in df.collect()}
 
 
-@pytest.mark.parametrize("local", [None, 0])
+@pytest.mark.parametrize("local", [0, 1000])
 def test_sssp(tiny, local):
     assert rows(paths.sssp(tiny, 1, local_edges=local), "v", "d") == {1: 0, 2: 3, 3: 1, 4: 8, 5: None}
     assert rows(paths.sssp_to(tiny, 4, local_edges=local), "v", "d") == {4: 0, 2: 5, 3: 7, 1: 8, 5: 11}
@@ -30,7 +30,7 @@ def test_sssp(tiny, local):
     assert rows(paths.tree(tiny, 1, local_edges=local), "v", "pred") == {1: None, 2: 3, 3: 1, 4: 2}
 
 
-@pytest.mark.parametrize("local", [None, 0])
+@pytest.mark.parametrize("local", [0, 1000])
 def test_unknown_source_and_isolated_vertex(spark, tiny, local):
     lone = spark.createDataFrame([(9,)], "v long")
     assert rows(paths.sssp(tiny, 1, within=lone, local_edges=local), "v", "d")[9] is None
@@ -39,7 +39,7 @@ def test_unknown_source_and_isolated_vertex(spark, tiny, local):
     assert rows(paths.sssp(empty, 1, local_edges=local), "v", "d") == {1: 0}
 
 
-@pytest.mark.parametrize("local", [None, 0])
+@pytest.mark.parametrize("local", [0, 1000])
 def test_point_to_point(spark, tiny, local):
     q = spark.createDataFrame([(0, 1, 4), (1, 1, 1), (2, 4, 1), (3, 5, 4)], "qid long, src long, dst long")
     found = rows(p2p.paths(tiny, q, local_edges=local), "qid", "distance", "path")
@@ -54,7 +54,7 @@ def test_point_to_point(spark, tiny, local):
 def test_random_graph_both_plans_and_properties(spark):
     edges = gen.undirected(spark, 60, 150, seed=3).persist()
     a = rows(paths.sssp(edges, 1), "v", "d")
-    assert a == rows(paths.sssp(edges, 1, local_edges=0), "v", "d")
+    assert a == rows(paths.sssp(edges, 1, local_edges=10_000), "v", "d")
     assert len(a) == 60 and None not in a.values()
     assert all(a[r.dst] <= a[r.src] + r.w for r in edges.collect())
     assert rows(paths.sssp_to(edges, 1), "v", "d") == a  # undirected
@@ -74,15 +74,85 @@ def test_normal_forms(spark):
     assert sorted(map(tuple, g.closest(spark.createDataFrame([(4, 2), (3, 2)], "v long, d long")).collect())) == [(3, 2)]
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_pagerank(spark, local):
+def test_pagerank(spark):
     ring = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1)], EDGE)
-    run = pr.pagerank(ring, local_edges=local)
+    run = pr.pagerank(ring)
     assert rows(run.ranks, "v", "pr") == pytest.approx({1: 1.0, 2: 1.0, 3: 1.0}) and run.steps == 1
-    run = pr.pagerank(spark.createDataFrame([(1, 2, 1)], EDGE), local_edges=local)
+    run = pr.pagerank(spark.createDataFrame([(1, 2, 1)], EDGE))
     assert rows(run.ranks, "v", "pr") == pytest.approx({1: 0.15, 2: 0.2775}) and run.steps == 3
 
 
+def test_pagerank_of_many_steps(spark):
+    edges = gen.directed(spark, 40, 120, seed=2).persist()
+    run = pr.pagerank(edges, eps=None, steps=19)
+    links = [(r.src, r.dst) for r in edges.collect()]
+    out = {v: sum(s == v for s, _ in links) for v in {x for e in links for x in e}}
+    rank = dict.fromkeys(out, 1.0)
+    for _ in range(19):
+        rank = {v: 0.15 + 0.85 * sum(rank[s] / out[s] for s, d in links if d == v) for v in rank}
+    assert rows(run.ranks, "v", "pr") == pytest.approx(rank) and run.steps == 19
+
+
+def test_many_rounds_and_hubs(spark, monkeypatch):
+    """A path of more rounds than are kept apart, and a hub whose edges lie in several shares."""
+    from weftline.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "HUB", 4)
+    edges = [(k, k + 1, 1) for k in range(1, 17)] + [(1, 100 + k, 5) for k in range(10)] + [(100 + k, 8, 1) for k in range(10)] + [(1, 17, 30)]
+    got = rows(paths.sssp(spark.createDataFrame(edges, EDGE), 1), "v", "d")
+    assert got == {**{k: min(k - 1, 6 + k - 8) if k >= 8 else k - 1 for k in range(1, 18)}, **{100 + k: 5 for k in range(10)}}
+
+
+def synchronous(edges, src, dst):
+    """(labels, last round) of the search from src that keeps no label above the best distance to dst so far."""
+    d, last, front, k = {src: 0}, {src: 0}, {src}, 0
+    while front:
+        k += 1
+        best = d.get(dst, float("inf"))
+        new: dict = {}
+        for s, t, w in edges:
+            if s in front and d[s] + w <= best:
+                new[t] = min(new.get(t, float("inf")), d[s] + w)
+        front = {t for t, x in new.items() if x < d.get(t, float("inf"))}
+        for t in front:
+            d[t], last[t] = new[t], k
+    return len(d), max(last.values())
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_counters_of_searches(spark, local):
+    edges = gen.undirected(spark, 30, 60, seed=5).persist()
+    q = [(k, k + 1, 29 - k) for k in range(6)] + [(6, 3, 3)]
+    found = p2p.search_rounds(edges, spark.createDataFrame(q, "qid long, src long, dst long"), local_edges=local)
+    known = [tuple(r) for r in edges.collect()]
+    assert rows(found, "qid", "labels", "rounds") == {k: synchronous(known, s, t) for k, s, t in q}
+
+
+def test_strategies_and_their_times(spark, tiny):
+    q = spark.createDataFrame([(0, 1, 4), (1, 4, 1)], "qid long, src long, dst long")
+    for name in p2p.STRATEGIES:
+        assert rows(p2p.solve(tiny, q, name), "qid", "distance") == {0: 8, 1: None}
+    with pytest.raises(ValueError):
+        p2p.solve(tiny, q, "guess")
+    timed = p2p.batch(tiny, q, 2, timed=True).collect()
+    assert len(timed) == 8 and all(r.micros > 0 for r in timed)
+
+
+def test_limited(spark):
+    found = spark.createDataFrame([(k, None if k % 3 else k) for k in range(20)], "qid long, distance long")
+    assert sorted(r.qid for r in p2p.limited(found, 3, 30).collect()) == list(range(7))
+    assert sorted(r.qid for r in p2p.limited(found, 30, 4).collect()) == list(range(6))
+    assert p2p.limited(found, 30, 30).count() == 20
+
+
+def test_walks(spark):
+    from weftline.queries import _seeds, literal_pairs
+
+    edges = literal_pairs(spark)
+    walks = iso.paired_walk(edges, _seeds(edges)).collect()
+    assert rows(iso.any_walk(edges, _seeds(edges)), "pair", "walk") == {p: any(w.walk for w in walks if w.pair == p) for p in ("six", "eight", "three")}
+
+
 def test_isomorphism(spark):
     from weftline.queries import _all_pairs
 

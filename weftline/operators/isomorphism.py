@@ -13,7 +13,11 @@ MOST = 999
 
 
 def seed_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(g1v, g2v): all vertices of one graph with all of the other; both have at most MOST."""
+    """(g1v, g2v): all vertices of one graph with all of the other; both have at most MOST, which is checked."""
+    for rows in (first, second):
+        n = rows.limit(MOST + 1).count()
+        if n > MOST:
+            raise ValueError(f"a graph of a pair may have {MOST} vertices")
     return first.select(F.col("v").alias("g1v")).crossJoin(second.select(F.col("v").alias("g2v")))
 
 
@@ -129,25 +133,42 @@ def paired_walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     A necessary condition only, and exponential in the worst case: a heuristic
     for graphs of a few vertices. Edges are (pair, g, src, dst), seeds (pair, g1v, g2v).
     """
+    return _seeded(edges, seeds).mapInPandas(_walks, "pair string, g1v long, g2v long, walk boolean")
+
+
+def any_walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(pair, walk): whether any seed of a pair has such paths; the seeds after the first that has are not searched."""
+    lists = edges.groupBy("pair").agg(F.collect_list(F.struct("g", "src", "dst")).alias("edges"))
+    rows = seeds.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("g1v", "g2v"))).alias("seeds")).join(lists, "pair")
+    return rows.mapInPandas(_first_walk, "pair string, walk boolean")
+
+
+def _seeded(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     lists = edges.groupBy("pair").agg(F.collect_list(F.struct("g", "src", "dst")).alias("edges"))
-    return seeds.join(lists, "pair").mapInPandas(_walks, "pair string, g1v long, g2v long, walk boolean")
+    return seeds.join(lists, "pair")
+
+
+def _walk(edges, first: int, second: int) -> bool:
+    graphs = [defaultdict(set), defaultdict(set)]
+    for e in edges:
+        graphs[e["g"] - 1][e["src"]].add(e["dst"])
+    n = len(graphs[0])
+    stack = [((first,), (second,))]
+    while stack and n == len(graphs[1]):
+        a, b = stack.pop()
+        if len(a) == n:
+            return True
+        stack += [(a + (u,), b + (v,)) for u in graphs[0][a[-1]] if u not in a for v in graphs[1][b[-1]] if v not in b]
+    return False
 
 
 def _walks(frames):
     for frame in frames:
-        out = []
-        for row in frame.itertuples():
-            graphs = [defaultdict(set), defaultdict(set)]
-            for e in row.edges:
-                graphs[e["g"] - 1][e["src"]].add(e["dst"])
-            n = len(graphs[0])
-            stack = [((row.g1v,), (row.g2v,))]
-            found = False
-            while stack and n == len(graphs[1]):
-                a, b = stack.pop()
-                if len(a) == n:
-                    found = True
-                    break
-                stack += [(a + (u,), b + (v,)) for u in graphs[0][a[-1]] if u not in a for v in graphs[1][b[-1]] if v not in b]
-            out.append((row.pair, row.g1v, row.g2v, found))
-        yield pd.DataFrame(out, columns=["pair", "g1v", "g2v", "walk"])
+        walk = [_walk(row.edges, row.g1v, row.g2v) for row in frame.itertuples()]
+        yield frame[["pair", "g1v", "g2v"]].assign(walk=walk)
+
+
+def _first_walk(frames):
+    for frame in frames:
+        walk = [any(_walk(row.edges, s["g1v"], s["g2v"]) for s in row.seeds) for row in frame.itertuples()]
+        yield frame[["pair"]].assign(walk=walk)

@@ -8,13 +8,10 @@ bits only.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import out_degree, vertices
-from weftline.plans import fixpoint
 from weftline.plans.stages import Stages
 
 DAMPING, EPSILON = 0.85, 0.001
@@ -33,10 +30,11 @@ def _links(edges: DataFrame) -> DataFrame:
 
 
 def _step(ranks: DataFrame, links: DataFrame, damping: float) -> DataFrame:
-    """(v, pr, before)."""
-    given = ranks.join(links, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("pr") * F.col("share")).alias("s"))
-    new = F.lit(1 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
-    return ranks.join(given, F.col("v") == F.col("to"), "left").select("v", new.alias("pr"), F.col("pr").alias("before"))
+    """(v, pr, before): a vertex's own rank travels with what it is given, so one shuffle brings both together."""
+    given = ranks.join(links, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), (F.col("pr") * F.col("share")).alias("s"), F.lit(None).cast("double").alias("before"))
+    own = ranks.select("v", F.lit(0.0).alias("s"), F.col("pr").alias("before"))
+    sums = given.unionByName(own).groupBy("v").agg(F.sum("s").alias("s"), F.max("before").alias("before")).where("before is not null")
+    return sums.select("v", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("pr"), "before")
 
 
 def pagerank_step(ranks: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
@@ -54,33 +52,25 @@ class Run:
 
 
 def pagerank(
-    edges: DataFrame, *, damping=DAMPING, eps: float | None = EPSILON, steps: int | None = None,
-    within: DataFrame | None = None, local_edges: int | None = None,
+    edges: DataFrame, *, damping=DAMPING, eps: float | None = EPSILON, steps: int | None = None, within: DataFrame | None = None,
 ) -> Run:
     """To convergence, or with ``eps`` None for exactly ``steps`` steps, of which the last iterate is returned.
 
-    A graph of at most LOCAL_EDGES edges, which is counted first, is iterated
-    over arrays; beyond that each step is a join and a sum over staged tables.
+    Links are dealt once by their source; a step shuffles the ranks and what
+    vertices give each other, combined before the shuffle. Each step's ranks are
+    a staged table, so a lost executor costs a step.
     """
     spark = edges.sparkSession
-    local_edges = fixpoint.LOCAL_EDGES if local_edges is None else local_edges
-    held = edges.select("src", "dst").persist()
-    try:
-        small = held.count() <= local_edges and (within is None or within.count() <= local_edges)
-        if small:
-            table = held.toArrow()
-            src, dst = (table.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
-            extra = within.select("v").toArrow().column("v").to_numpy() if within is not None else np.zeros(0, np.int64)
-            return _local(spark, src, dst, extra, damping, eps, steps)
-    finally:
-        held.unpersist()
     stages = Stages(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _links(edges).repartition(width, "src").persist()
+    edges = stages.write(edges.select("src", "dst"))
+    links = _links(edges).repartition(width, "src").sortWithinPartitions("src").persist()
     ranks, trace = stages.write(initial(edges, within)), []
     while steps is None or len(trace) < steps:
-        after = stages.write(_step(ranks.select("v", "pr"), links, damping))
-        delta = after.agg(F.max(F.abs(F.col("pr") - F.col("before")))).first()[0] or 0.0
+        seen = Observation()
+        after = _step(ranks.select("v", "pr"), links, damping)
+        after = stages.write(after.observe(seen, F.max(F.abs(F.col("pr") - F.col("before"))).alias("delta")))
+        delta = seen.get["delta"] or 0.0
         trace.append((len(trace) + 1, delta))
         if eps is not None and delta <= eps:
             stages.drop(after)
@@ -89,18 +79,3 @@ def pagerank(
         ranks = after
     links.unpersist()
     return Run(ranks.select("v", "pr"), trace)
-
-
-def _local(spark, src, dst, extra, damping, eps, steps) -> Run:
-    ids = np.unique(np.concatenate([src, dst, extra]))
-    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    share = 1.0 / np.bincount(a, minlength=len(ids))[a] if len(a) else np.zeros(0)
-    pr, trace = np.ones(len(ids)), []
-    while steps is None or len(trace) < steps:
-        new = (1 - damping) + damping * np.bincount(b, weights=pr[a] * share, minlength=len(ids))
-        delta = float(np.abs(new - pr).max(initial=0.0))
-        trace.append((len(trace) + 1, delta))
-        if eps is not None and delta <= eps:
-            break
-        pr = new
-    return Run(spark.createDataFrame(pa.table({"v": ids, "pr": pr}), "v long, pr double"), trace)

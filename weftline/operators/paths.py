@@ -13,7 +13,7 @@ def _seeds(spark, rows) -> DataFrame:
     return spark.createDataFrame(rows, "q long, dir int, v long, d long, bound long, target long")
 
 
-def _labels(edges: DataFrame, source: int, direction: int = 0, local_edges: int | None = None) -> DataFrame:
+def _labels(edges: DataFrame, source: int, direction: int = 0, local_edges: int = 0) -> DataFrame:
     seeds = _seeds(edges.sparkSession, [(0, direction, int(source), 0, None, None)])
     return search(edges, seeds, local_edges=local_edges).select("v", "d", "round")
 
@@ -24,22 +24,22 @@ def _every(edges: DataFrame, found: DataFrame, within: DataFrame | None, column=
     return all_.join(found.select("v", column), "v", "full_outer")
 
 
-def sssp(edges: DataFrame, source: int, *, within: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
+def sssp(edges: DataFrame, source: int, *, within: DataFrame | None = None, local_edges: int = 0) -> DataFrame:
     """(v, d) from the source to every vertex; ``within`` adds isolated vertices."""
     return _every(edges, _labels(edges, source, 0, local_edges), within)
 
 
-def sssp_to(edges: DataFrame, target: int, *, within: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
+def sssp_to(edges: DataFrame, target: int, *, within: DataFrame | None = None, local_edges: int = 0) -> DataFrame:
     """(v, d) from every vertex to the target."""
     return _every(edges, _labels(edges, target, 1, local_edges), within)
 
 
-def bfs_hops(edges: DataFrame, source: int, *, within: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
+def bfs_hops(edges: DataFrame, source: int, *, within: DataFrame | None = None, local_edges: int = 0) -> DataFrame:
     """(v, d): the least number of edges."""
     return sssp(edges.withColumn("w", F.lit(1).cast("long")), source, within=within, local_edges=local_edges)
 
 
-def tree(edges: DataFrame, source: int, *, local_edges: int | None = None) -> DataFrame:
+def tree(edges: DataFrame, source: int, *, local_edges: int = 0) -> DataFrame:
     """(v, d, pred) of reached vertices: pred is the smallest vertex from which a shortest path comes."""
     found = _labels(edges, source, 0, local_edges).select("v", "d")
     tight = (
@@ -64,7 +64,7 @@ def eccentricity(edges: DataFrame, source: int, **options) -> DataFrame:
     return sssp(edges, source, **options).agg(F.lit(source).cast("long").alias("source"), F.max("d").alias("eccentricity"))
 
 
-def rounds(edges: DataFrame, source: int, *, local_edges: int | None = None) -> DataFrame:
+def rounds(edges: DataFrame, source: int, *, local_edges: int = 0) -> DataFrame:
     """(round, settled): vertices whose distance was last improved in each round of the synchronous search."""
     return _labels(edges, source, 0, local_edges).groupBy("round").agg(F.count("*").alias("settled"))
 

@@ -6,7 +6,9 @@ from a vertex to itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from time import perf_counter
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import pseudo
@@ -37,12 +39,12 @@ def _landmark_labels(edges: DataFrame, marks: DataFrame, direction: int, local_e
     return search(edges, seeds, local_edges=local_edges).select(F.col("q").alias("landmark"), "v", F.col("d").alias("dist"))
 
 
-def landmark_out(edges: DataFrame, marks: DataFrame, *, local_edges=None) -> DataFrame:
+def landmark_out(edges: DataFrame, marks: DataFrame, *, local_edges=0) -> DataFrame:
     """(landmark, v, dist): distances from each landmark, all in one search."""
     return _landmark_labels(edges, marks, 0, local_edges)
 
 
-def landmark_in(edges: DataFrame, marks: DataFrame, *, local_edges=None) -> DataFrame:
+def landmark_in(edges: DataFrame, marks: DataFrame, *, local_edges=0) -> DataFrame:
     """(landmark, v, dist): distances to each landmark."""
     return _landmark_labels(edges, marks, 1, local_edges)
 
@@ -66,13 +68,13 @@ def _forward(queries: DataFrame) -> DataFrame:
     )
 
 
-def distance(edges: DataFrame, queries: DataFrame, *, local_edges=None) -> DataFrame:
+def distance(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance) by search from the source; a column ``bound`` of the queries prunes it."""
     found = search(edges, _forward(queries), local_edges=local_edges).select(F.col("q").alias("qid"), F.col("v").alias("dst"), F.col("d").alias("distance"))
     return queries.select("qid", "src", "dst").join(found, ["qid", "dst"], "left").select("qid", "src", "dst", "distance")
 
 
-def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=None) -> DataFrame:
+def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance, joining_vertex) by search from both ends.
 
     Every vertex of a shortest path keeps both labels, so the joining vertex is
@@ -91,7 +93,7 @@ def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=None) ->
     )
 
 
-def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True, local_edges=None) -> DataFrame:
+def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance, bound): landmark bounds first, then the search that they prune."""
     marks = landmarks(edges, k)
     bounds = upper_bound(queries, landmark_in(edges, marks, local_edges=local_edges), landmark_out(edges, marks, local_edges=local_edges))
@@ -100,36 +102,43 @@ def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True,
     return found.join(bounds.select("qid", "bound"), "qid").select("qid", "src", "dst", "distance", "bound")
 
 
-def paths(edges: DataFrame, queries: DataFrame, *, local_edges=None) -> DataFrame:
+def paths(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance, path array<long>): of the shortest paths the one that, seen from the
     destination, always comes from the smallest predecessor. [src] if src = dst, empty if there is none.
 
-    Predecessors are looked up step by step for all queries at once, as many
-    steps as the longest path has edges.
+    Jumps of 1, 2, 4 ... steps back are made by doubling over the predecessors of
+    all vertices that the searches labelled; from the longest to the shortest,
+    each doubles the known places of the paths. So the rounds grow with the
+    logarithm of the longest path.
     """
     stages = Stages(edges.sparkSession)
     labels = stages.write(search(edges, _forward(queries), local_edges=local_edges).select("q", "v", "d"))
+    ends = queries.select(F.col("qid").alias("q"), "src", F.col("dst").alias("v")).join(labels, ["q", "v"])
     tight = (
         labels.select("q", F.col("v").alias("src"), F.col("d").alias("d_src"))
         .join(edges, "src")
         .join(labels.select("q", F.col("v").alias("dst"), F.col("d").alias("d_dst")), ["q", "dst"])
         .where("d_src + w = d_dst")
     )
-    preds = stages.write(tight.groupBy("q", F.col("dst").alias("v")).agg(F.min("src").alias("pred")))
-    ends = queries.select(F.col("qid").alias("q"), "src", "dst").join(labels.select("q", F.col("v").alias("dst"), F.col("d").alias("distance")), ["q", "dst"])
-    walks = stages.write(ends.select("q", "src", "dst", "distance", F.col("dst").alias("v"), F.array("dst").alias("path")))
-    while not walks.where("v <> src").isEmpty():
-        step = walks.join(preds, ["q", "v"], "left")
-        on = F.col("v") != F.col("src")
-        after = stages.write(
-            step.select(
-                "q", "src", "dst", "distance", F.when(on, F.col("pred")).otherwise(F.col("v")).alias("v"),
-                F.when(on, F.concat(F.array("pred"), "path")).otherwise(F.col("path")).alias("path"),
-            )
-        )
-        stages.drop(walks)
-        walks = after
-    out = queries.select("qid", "src", "dst").join(walks.select(F.col("q").alias("qid"), "distance", "path"), "qid", "left")
+    # jump: (q, v, to, n): n steps back from v stands ``to``; the source stays where it is
+    roots = labels.where("d = 0").select("q", "v", F.col("v").alias("to"), F.lit(0).cast("long").alias("n"))
+    preds = tight.groupBy("q", F.col("dst").alias("v")).agg(F.min("src").alias("to")).withColumn("n", F.lit(1).cast("long"))
+    levels = [stages.write(preds.unionByName(roots.join(preds, ["q", "v"], "left_anti")))]
+    places = stages.write(ends.select("q", "v", F.lit(0).cast("long").alias("back")))  # of destinations, counted from the end
+    while True:
+        far = levels[-1]
+        if places.join(far.where("n = {}".format(1 << (len(levels) - 1))), ["q", "v"], "left_semi").isEmpty():
+            break
+        on = far.select("q", F.col("v").alias("to"), F.col("to").alias("further"), F.col("n").alias("more"))
+        levels.append(stages.write(far.join(on, ["q", "to"]).select("q", "v", F.col("further").alias("to"), (F.col("n") + F.col("more")).alias("n"))))
+    for far in reversed(levels):  # from the longest jumps to the shortest, each doubles the places that are known
+        more = places.join(far.where("n > 0"), ["q", "v"]).select("q", F.col("to").alias("v"), (F.col("back") + F.col("n")).alias("back"))
+        after = stages.write(places.unionByName(more).distinct())
+        stages.drop(places)
+        places = after
+    walks = places.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "v"))), lambda x: x["v"]).alias("path"))
+    found = ends.select("q", F.col("d").alias("distance")).join(walks, "q").withColumnRenamed("q", "qid")
+    out = queries.select("qid", "src", "dst").join(found, "qid", "left")
     return out.withColumn("path", F.coalesce("path", F.array().cast("array<long>")))
 
 
@@ -179,20 +188,35 @@ def file_and_random(pairs: DataFrame, random: DataFrame) -> DataFrame:
     return pairs.unionByName(random.withColumn("qid", F.col("qid") + n)).select("qid", "src", "dst")
 
 
-STRATEGIES = ("one end", "both ends", "one end, bounds", "both ends, bounds")
+#: Ways to answer a query: (from both ends, with landmark bounds).
+STRATEGIES = {"one end": (False, False), "both ends": (True, False), "one end, bounds": (False, True), "both ends, bounds": (True, True)}
+
+
+def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k: int = 4, *, local_edges=0) -> DataFrame:
+    """(qid, src, dst, distance) by one of STRATEGIES."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"a strategy is one of {', '.join(STRATEGIES)}, not {strategy}")
+    both, bounded = STRATEGIES[strategy]
+    if bounded:
+        found = with_bounds(edges, queries, k, both=both, local_edges=local_edges)
+    else:
+        found = (bidirectional if both else distance)(edges, queries, local_edges=local_edges)
+    return found.select("qid", "src", "dst", "distance")
+
 
+def batch(edges: DataFrame, queries: DataFrame, k: int = 4, *, timed=False, local_edges=0) -> DataFrame:
+    """(qid, src, dst, strategy, distance): every query by every strategy.
 
-def batch(edges: DataFrame, queries: DataFrame, k: int = 4, *, local_edges=None) -> DataFrame:
-    """(qid, src, dst, strategy, distance): every query by every strategy."""
-    found = [
-        distance(edges, queries, local_edges=local_edges),
-        bidirectional(edges, queries, local_edges=local_edges),
-        with_bounds(edges, queries, k, both=False, local_edges=local_edges),
-        with_bounds(edges, queries, k, both=True, local_edges=local_edges),
-    ]
-    out = None
-    for name, rows in zip(STRATEGIES, found, strict=True):
-        part = rows.select("qid", "src", "dst", F.lit(name).alias("strategy"), "distance")
+    ``timed`` adds micros, what a query took on average: all queries of a
+    strategy advance together, so they are timed together.
+    """
+    n, out = queries.count() if timed else 0, None
+    for name in STRATEGIES:
+        began = perf_counter()
+        part = solve(edges, queries, name, k, local_edges=local_edges).select("qid", "src", "dst", F.lit(name).alias("strategy"), "distance")
+        if timed:
+            part = Stages(edges.sparkSession).write(part)
+            part = part.withColumn("micros", F.lit((perf_counter() - began) * 1e6 / max(n, 1)))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -206,15 +230,18 @@ def strategies_agree(results: DataFrame) -> DataFrame:
 def limited(results: DataFrame, answered: int, failed: int = 30) -> DataFrame:
     """Of (qid, ..., distance), those that a driver runs that stops after ``answered`` reachable or ``failed`` unreachable ones.
 
-    The window runs over one row for each query of a workload.
+    Where a driver stops is the qid of the answered-th or failed-th row of its
+    kind: two bounded heaps, and no window over the workload.
     """
-    before = Window.orderBy("qid").rowsBetween(Window.unboundedPreceding, -1)
-    yes, no = F.col("distance").isNotNull().cast("long"), F.col("distance").isNull().cast("long")
-    counted = results.withColumns({"_yes": F.coalesce(F.sum(yes).over(before), F.lit(0)), "_no": F.coalesce(F.sum(no).over(before), F.lit(0))})
-    return counted.where((F.col("_yes") < answered) & (F.col("_no") < failed)).drop("_yes", "_no")
+    stop = None
+    for n, kind in ((answered, "distance is not null"), (failed, "distance is null")):
+        last = results.where(kind).select("qid").orderBy("qid").limit(n).agg(F.when(F.count("*") == n, F.max("qid")).alias("at"))
+        stop = last if stop is None else stop.unionByName(last)
+    stop = stop.agg(F.min("at").alias("at"))
+    return results.join(F.broadcast(stop)).where("at is null or qid <= at").drop("at")  # one row
 
 
-def search_rounds(edges: DataFrame, queries: DataFrame, *, local_edges=None) -> DataFrame:
+def search_rounds(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
     """(qid, labels, rounds): how many vertices the search from the source labelled, and when the last label changed."""
     labels = search(edges, _forward(queries), local_edges=local_edges)
     return labels.groupBy(F.col("q").alias("qid")).agg(F.count("*").alias("labels"), F.max("round").alias("rounds"))

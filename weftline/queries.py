@@ -142,6 +142,18 @@ def adjacency_list_weighted(spark, sf_dir):
     return g.adjacency_text(order_hops(spark, sf_dir), weighted=True)
 
 
+@_query(
+    f"""SELECT row_number() OVER (ORDER BY v) - 1 AS pos, CAST(v AS VARCHAR) AS line
+FROM (SELECT CAST({pseudo_sql("i")} % 100 + 1 AS INTEGER) AS v FROM (SELECT unnest(range(1000)) AS i))"""
+)
+def sink_array(spark, sf_dir):
+    """A sorted array written as lines and read again in their order."""
+    path = f"{Stages(spark).folder}/text"
+    text.write_array(gen.array(spark, 1000), "value", path)
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return order.rank(lines, F.col("at"), name="pos", start=0).select("pos", "line")
+
+
 # generators
 
 
@@ -409,10 +421,17 @@ def reachable(spark, sf_dir):
     return paths.reachable(edges, _source(edges))
 
 
-@_query(_hops("SELECT vs.v FROM vs LEFT JOIN r ON r.v = vs.v WHERE r.v IS NULL", EVENT_HOPS, recursive=True, more=_VERTICES + _search_sql(_SOURCE)))
+#: Edges towards greater ids, from the middle of these.
+_UPWARD = ", up AS (SELECT * FROM e WHERE src < dst), vu AS (SELECT src AS v FROM up UNION SELECT dst FROM up)"
+_MIDDLE = "SELECT CAST(0 AS BIGINT) AS q, (min(src) + max(src)) // 2 AS v, CAST(0 AS BIGINT) AS d FROM up"
+
+
+@_query(_hops("SELECT vu.v FROM vu LEFT JOIN r ON r.v = vu.v WHERE r.v IS NULL", EVENT_HOPS, recursive=True, more=_UPWARD + _search_sql(_MIDDLE, "up")))
 def unreachable(spark, sf_dir):
-    edges = event_hops(spark, sf_dir)
-    return paths.unreachable(edges, _source(edges))
+    """Along edges to greater ids alone, what is below the middle can't be reached from it."""
+    edges = event_hops(spark, sf_dir).where("src < dst")
+    low, high = edges.agg(F.min("src"), F.max("src")).first()
+    return paths.unreachable(edges, (low + high) // 2)
 
 
 @_query(_hops("SELECT (SELECT min(src) FROM e) AS source, max(d) AS eccentricity FROM r", recursive=True, more=_search_sql(_SOURCE)))
@@ -441,6 +460,11 @@ def closest_vertex(spark, sf_dir):
     return g.closest(paths.sssp(edges, _source(edges)), F.col("d") > 0)
 
 
+@_query(_hops("SELECT vs.v || ' ' || coalesce(r.d, 10000000) AS line FROM vs LEFT JOIN r ON r.v = vs.v", recursive=True, more=_VERTICES + _search_sql(_SOURCE)))
+def sink_distances(spark, sf_dir):
+    return text.distance_lines(sssp_directed(spark, sf_dir)).select("line")
+
+
 # point to point
 
 _FROM_PAIRS = _VERTICES + _PAIRS + _search_sql("SELECT qid, src, CAST(0 AS BIGINT) FROM q")
@@ -556,7 +580,14 @@ def p2p_batch(spark, sf_dir):
     return p2p.batch(edges, _pairs(spark, edges), 4)
 
 
-@_query(_hops("SELECT qid, TRUE AS agree FROM q", more=_VERTICES + _PAIRS))
+@_query(
+    _hops(
+        """SELECT q.qid, coalesce(any_value(o.d), -1) = coalesce(min(r.d + t.d), -1) AS agree
+FROM q LEFT JOIN r o ON o.q = q.qid AND o.v = q.dst LEFT JOIN (r JOIN t ON r.q = t.q AND r.v = t.v) ON r.q = q.qid GROUP BY q.qid""",
+        recursive=True,
+        more=_FROM_PAIRS + _TO_PAIRS,
+    )
+)
 def p2p_strategies_agree(spark, sf_dir):
     return p2p.strategies_agree(p2p_batch(spark, sf_dir))
 
@@ -577,7 +608,7 @@ def p2p_batch_limited(spark, sf_dir):
 
 @_query()
 def p2p_rounds(spark, sf_dir):
-    """Counters of the search; what pruning leaves depends on rounds, so there is no SQL."""
+    """Counters of the search; what pruning leaves depends on rounds, so a test in plain Python takes the place of SQL."""
     edges = order_hops(spark, sf_dir)
     return p2p.search_rounds(edges, _pairs(spark, edges))
 
@@ -629,19 +660,26 @@ def pagerank_trace(spark, sf_dir):
 
 # isomorphism
 
-#: Literal graph pairs (fixed values): neighbours of each vertex of both graphs.
+#: Literal graph pairs (fixed values): the neighbours of vertices 1, 2, ... of both graphs.
 LITERALS = {
-    "six": ("45 46 56 12 13 23", "35 46 15 26 13 24"),
-    "eight": ("567 568 578 678 123 124 134 234", "245 136 247 138 168 257 368 457"),
-    "three": ("2 13 2", "23 1 1"),
+    "six": (
+        [[4, 5], [4, 6], [5, 6], [1, 2], [1, 3], [2, 3]],
+        [[3, 5], [4, 6], [1, 5], [2, 6], [1, 3], [2, 4]],
+    ),
+    "eight": (
+        [[5, 6, 7], [5, 6, 8], [5, 7, 8], [6, 7, 8], [1, 2, 3], [1, 2, 4], [1, 3, 4], [2, 3, 4]],
+        [[2, 4, 5], [1, 3, 6], [2, 4, 7], [1, 3, 8], [1, 6, 8], [2, 5, 7], [3, 6, 8], [4, 5, 7]],
+    ),
+    "three": (
+        [[2], [1, 3], [2]],
+        [[2, 3], [1], [1]],
+    ),
 }
 
 
 def literal_pairs(spark: SparkSession) -> DataFrame:
     """(pair, g, src, dst)."""
-    rows = [
-        (name, k, i, int(d)) for name, both in LITERALS.items() for k, rows in enumerate(both, 1) for i, row in enumerate(rows.split(), 1) for d in row
-    ]
+    rows = [(name, g, v, u) for name, both in LITERALS.items() for g, graph in enumerate(both, 1) for v, near in enumerate(graph, 1) for u in near]
     return spark.createDataFrame(rows, "pair string, g int, src long, dst long")
 
 
@@ -653,12 +691,37 @@ def _all_pairs(spark: SparkSession) -> DataFrame:
     return out
 
 
-@_query("SELECT * FROM (VALUES ('six', FALSE), ('eight', TRUE), ('three', TRUE)) t(pair, isomorphic)")
+#: The literal edges as (pair, g, src, dst).
+_LITERAL_EDGES = "SELECT * FROM (VALUES {}) t(pair, g, src, dst)".format(
+    ", ".join(f"('{name}', {g}, {v}, {u})" for name, both in LITERALS.items() for g, graph in enumerate(both, 1) for v, near in enumerate(graph, 1) for u in near)
+)
+_MADE_EDGES = f"""{_LITERAL_EDGES}
+UNION ALL SELECT 'complete', 1, src, dst FROM ({_K.format(n=12)}) UNION ALL SELECT 'complete', 2, src, dst FROM ({_K.format(n=11)})
+UNION ALL SELECT 'skew', 1, src, dst FROM ({_K.format(n=12)}) WHERE src = 1 OR dst = 1 OR (src % 2 = 0 AND dst % 2 = 0)
+UNION ALL SELECT 'skew', 2, src, dst FROM ({_K.format(n=12)})"""
+
+
+def _isomorphic_sql(edges: str) -> str:
+    """Mappings of vertices 1, 2, ... grow by a vertex, all of whose edges and non-edges to those before have to agree."""
+    return f"""WITH RECURSIVE e AS ({edges}), s AS (
+  SELECT pair, max(n) FILTER (g = 1) AS n1, max(n) FILTER (g = 2) AS n2, max(m) FILTER (g = 1) AS m1, max(m) FILTER (g = 2) AS m2
+  FROM (SELECT pair, g, count(DISTINCT src) AS n, list(src * 100 + dst) AS m FROM e GROUP BY pair, g) GROUP BY pair
+), m(pair, k, f) AS (
+  SELECT pair, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM s WHERE n1 = n2
+  UNION ALL
+  SELECT m.pair, k + 1, list_append(f, w) FROM m JOIN s USING (pair), (SELECT unnest(range(1, 13)) AS w)
+  WHERE k < n1 AND w <= n2 AND NOT list_contains(f, w)
+    AND len(list_filter(f, lambda u, j: list_contains(m1, j * 100 + k + 1) <> list_contains(m2, u * 100 + w))) = 0
+)
+SELECT pair, coalesce(bool_or(k = n1), FALSE) AS isomorphic FROM s LEFT JOIN m USING (pair) GROUP BY pair"""
+
+
+@_query(_isomorphic_sql(_LITERAL_EDGES))
 def giso_literals(spark, sf_dir):
     return iso.is_isomorphic(literal_pairs(spark))
 
 
-@_query("SELECT * FROM (VALUES ('six', FALSE), ('eight', TRUE), ('three', TRUE), ('complete', FALSE), ('skew', FALSE)) t(pair, isomorphic)")
+@_query(_isomorphic_sql(_MADE_EDGES))
 def is_isomorphic(spark, sf_dir):
     return iso.is_isomorphic(_all_pairs(spark))
 
@@ -669,13 +732,32 @@ def giso_seed_pairs(spark, sf_dir):
     return iso.seed_pairs(*(both.where(F.col("g") == k).select(F.col("src").alias("v")).distinct() for k in (1, 2)))
 
 
-@_query()
+#: Vertices that begin a simple path through all vertices of their graph; two such paths exist side by side if the graphs have as many vertices.
+_WALKS = f"""WITH RECURSIVE e AS ({_LITERAL_EDGES}), p(pair, g, s, v, path) AS (
+  SELECT DISTINCT pair, g, src, src, [src] FROM e
+  UNION ALL
+  SELECT p.pair, p.g, s, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.pair = p.pair AND e.g = p.g AND e.src = p.v WHERE NOT list_contains(path, e.dst)
+), n AS (SELECT pair, g, count(DISTINCT src) AS n FROM e GROUP BY pair, g),
+h AS (SELECT pair, g, s, n, bool_or(len(path) = n) AS whole FROM p JOIN n USING (pair, g) GROUP BY pair, g, s, n),
+w AS (SELECT a.pair, CAST(a.s AS BIGINT) AS g1v, CAST(b.s AS BIGINT) AS g2v, a.whole AND b.whole AND a.n = b.n AS walk FROM h a JOIN h b ON a.pair = b.pair AND a.g = 1 AND b.g = 2)"""
+
+
+def _seeds(edges: DataFrame) -> DataFrame:
+    ends = edges.select("pair", "g", F.col("src").alias("v")).distinct()
+    return ends.where("g = 1").select("pair", F.col("v").alias("g1v")).join(ends.where("g = 2").select("pair", F.col("v").alias("g2v")), "pair")
+
+
+@_query(f"{_WALKS} SELECT * FROM w")
 def paired_walk(spark, sf_dir):
     """The heuristic on the literal pairs, from all seed pairs; exponential, so on these small graphs only."""
     edges = literal_pairs(spark)
-    ends = edges.select("pair", "g", F.col("src").alias("v")).distinct()
-    seeds = ends.where("g = 1").select("pair", F.col("v").alias("g1v")).join(ends.where("g = 2").select("pair", F.col("v").alias("g2v")), "pair")
-    return iso.paired_walk(edges, seeds)
+    return iso.paired_walk(edges, _seeds(edges))
+
+
+@_query(f"{_WALKS} SELECT pair, bool_or(walk) AS walk FROM w GROUP BY pair")
+def any_walk(spark, sf_dir):
+    edges = literal_pairs(spark)
+    return iso.any_walk(edges, _seeds(edges))
 
 
 # order

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import pseudo
 from weftline.operators.graph import UNREACHABLE, adjacency
+from weftline.plans.stages import Stages
 
 
 def _tokens() -> Column:
@@ -41,10 +42,26 @@ def read_edge_list(spark: SparkSession, path: str, bound: int = 3) -> EdgeList:
 
 
 def read_unweighted(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (src, dst, w = 1) from a stream of tokens, two an edge, within a line."""
-    tokens = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"))
-    pairs = tokens.select("t", F.explode(F.sequence(F.lit(0), (F.size("t") / 2).cast("int") - 1)).alias("i")).where("size(t) > 1")
-    return pairs.select(F.col("t")[F.col("i") * 2].cast("long").alias("src"), F.col("t")[F.col("i") * 2 + 1].cast("long").alias("dst"), F.lit(1).cast("long").alias("w"))
+    """Edges (src, dst, w = 1) from a stream of tokens, two an edge, whatever the lines; an odd last token is none.
+
+    Lines are numbered in the order of files and blocks, tokens by the sums of
+    lines before: a window over each block of a file, one number a block beyond.
+    """
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(where.alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = Stages(spark).write(lines.where(F.trim("value") != "").select("block", "at", _tokens().alias("t")))
+    sums, before = [], 0
+    for r in lines.groupBy("block").agg(F.sum(F.size("t")).alias("n")).orderBy("block").collect():  # a row for each block of a file
+        sums.append(((r.block.file, r.block.start), before))
+        before += r.n
+    sums = F.broadcast(spark.createDataFrame(sums, "block struct<file string, start long>, before long"))
+    inside = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum(F.size("t")).over(inside), F.lit(0))
+    lines = lines.join(sums, "block").withColumn("first", first)
+    tokens = lines.select("first", F.posexplode("t").alias("i", "token")).select((F.col("first") + F.col("i")).alias("k"), F.col("token").cast("long").alias("v"))
+    ends = [F.max(F.when(F.col("k") % 2 == side, F.col("v"))).alias(name) for side, name in enumerate(("src", "dst"))]
+    pairs = tokens.where(F.col("k") < before - before % 2).groupBy(F.expr("k div 2").alias("edge")).agg(*ends)
+    return pairs.select("src", "dst", F.lit(1).cast("long").alias("w"))
 
 
 def read_query_pairs(spark: SparkSession, path: str) -> DataFrame:
