@@ -206,9 +206,9 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
 
     Rounds of the two-step star contraction: each node links its larger
     neighbours, then its smaller ones, to the smallest it knows. No step gathers
-    a neighbourhood: minima are combined before the shuffle, and the joins that
-    meet a node with many links are ones that adaptive execution can split.
-    Ends when a round changes nothing; each round's edges are a staged table.
+    a neighbourhood: minima are combined before the shuffle, and are staged, so
+    that the joins that meet a node with many links are ones that adaptive
+    execution can split. Ends when a round changes nothing.
     """
     held = stages.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -216,14 +216,14 @@ def components(stages: Stages, edges: DataFrame) -> DataFrame:
     while True:
         # every node towards the smallest of its neighbours and itself
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stages.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = stages.write(large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct())
         # then the smaller neighbours of each node towards the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stages.write(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after = stages.write(new)
+        after = stages.write(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        stages.drop(low, large, least)
         same = after.count() == held.count() and after.join(held, ["a", "b"], "left_anti").isEmpty()
         if same:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
