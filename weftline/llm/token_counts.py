@@ -16,7 +16,7 @@ from weftline.llm.common import pack, pack_integers, partitions, releasing, take
 from weftline.plans.stages import Stages
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 _OWN = -1
 
 
