@@ -63,3 +63,42 @@ def test_near_duplicates_keep_different_texts_of_one_id(spark):
     five = [r for r in got if r[0] == 5]
     assert len(five) == 1 and five[0] in rows
     assert sorted([*want, *five], key=str) == got
+
+
+def test_filters_of_awkward_rows(spark, tmp_path):
+    """Columns of any name pass, repeated rows fare alike, empty tables stay empty, and without labels nothing is rejected."""
+    import corpus_pipeline as pipeline
+    from tests.llm.fixtures import documents, frame
+
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, (i, _) in enumerate(documents())], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "some" / "labels.parquet"))
+    labels.where("false").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    docs = frame(spark, documents(), True).selectExpr("*", "1 as quality", "2 as TOXICITY", "3 as n_lines", "4 as c0", "5 as num")
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path / "some"))
+        assert out.columns == docs.columns, name
+        got = [r.doc_id for r in out.collect()]
+        assert set(got) <= {i for i, _ in documents()}
+        assert stage(spark, docs.where("false"), str(tmp_path / "some")).count() == 0
+    for _, stage in pipeline.STAGES[:2]:
+        assert stage(spark, docs, str(tmp_path / "none")).count() == len(documents())
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    import corpus_pipeline as pipeline
+    from tests.llm.fixtures import deduped, documents, frame
+
+    rows = documents()
+    got = pipeline.line_dedup(spark, frame(spark, rows), "").collect()
+    had = {k: t for k, (_, t) in enumerate(rows)}
+    want = [(i, t) for i, t in deduped(rows) if (t or "").strip() or not any((had[k] or "").strip() for k, (j, _) in enumerate(rows) if j == i)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from tests.llm.fixtures import documents, frame
+
+    frame(spark, documents()).where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
