@@ -93,11 +93,21 @@ def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> Dat
     )
 
 
-def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True, local_edges=0) -> DataFrame:
-    """(qid, src, dst, distance, bound): landmark bounds first, then the search that they prune."""
+def bounds_of(edges: DataFrame, queries: DataFrame, k: int = 4, *, local_edges=0) -> DataFrame:
+    """``upper_bound`` by k landmarks, staged; distances from and to all of them are one search."""
     marks = landmarks(edges, k)
-    bounds = upper_bound(queries, landmark_in(edges, marks, local_edges=local_edges), landmark_out(edges, marks, local_edges=local_edges))
-    bounds = Stages(edges.sparkSession).write(bounds)
+    null = F.lit(None).cast("long")
+    seeds = marks.select(
+        F.col("landmark").alias("q"), F.explode(F.array(F.lit(0), F.lit(1))).alias("dir"), F.col("landmark").alias("v"),
+        F.lit(0).cast("long").alias("d"), null.alias("bound"), null.alias("target"),
+    )
+    labels = search(edges, seeds, local_edges=local_edges).select(F.col("q").alias("landmark"), "v", F.col("d").alias("dist"), "dir")
+    return Stages(edges.sparkSession).write(upper_bound(queries, labels.where("dir = 1"), labels.where("dir = 0")))
+
+
+def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True, bounds: DataFrame | None = None, local_edges=0) -> DataFrame:
+    """(qid, src, dst, distance, bound): landmark bounds first, unless they are given, then the search that they prune."""
+    bounds = bounds_of(edges, queries, k, local_edges=local_edges) if bounds is None else bounds
     found = bidirectional(edges, bounds, local_edges=local_edges) if both else distance(edges, bounds, local_edges=local_edges)
     return found.join(bounds.select("qid", "bound"), "qid").select("qid", "src", "dst", "distance", "bound")
 
@@ -192,13 +202,13 @@ def file_and_random(pairs: DataFrame, random: DataFrame) -> DataFrame:
 STRATEGIES = {"one end": (False, False), "both ends": (True, False), "one end, bounds": (False, True), "both ends, bounds": (True, True)}
 
 
-def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k: int = 4, *, local_edges=0) -> DataFrame:
-    """(qid, src, dst, distance) by one of STRATEGIES."""
+def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k: int = 4, *, bounds: DataFrame | None = None, local_edges=0) -> DataFrame:
+    """(qid, src, dst, distance) by one of STRATEGIES; ``bounds`` may hold what ``bounds_of`` found."""
     if strategy not in STRATEGIES:
         raise ValueError(f"a strategy is one of {', '.join(STRATEGIES)}, not {strategy}")
     both, bounded = STRATEGIES[strategy]
     if bounded:
-        found = with_bounds(edges, queries, k, both=both, local_edges=local_edges)
+        found = with_bounds(edges, queries, k, both=both, bounds=bounds, local_edges=local_edges)
     else:
         found = (bidirectional if both else distance)(edges, queries, local_edges=local_edges)
     return found.select("qid", "src", "dst", "distance")
@@ -207,13 +217,15 @@ def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k:
 def batch(edges: DataFrame, queries: DataFrame, k: int = 4, *, timed=False, local_edges=0) -> DataFrame:
     """(qid, src, dst, strategy, distance): every query by every strategy.
 
-    ``timed`` adds micros, what a query took on average: all queries of a
+    Bounds are found once for the strategies that use them. ``timed`` adds
+    micros, what a query took on average without its bound: all queries of a
     strategy advance together, so they are timed together.
     """
     n, out = queries.count() if timed else 0, None
+    bounds = bounds_of(edges, queries, k, local_edges=local_edges)
     for name in STRATEGIES:
         began = perf_counter()
-        part = solve(edges, queries, name, k, local_edges=local_edges).select("qid", "src", "dst", F.lit(name).alias("strategy"), "distance")
+        part = solve(edges, queries, name, k, bounds=bounds, local_edges=local_edges).select("qid", "src", "dst", F.lit(name).alias("strategy"), "distance")
         if timed:
             part = Stages(edges.sparkSession).write(part)
             part = part.withColumn("micros", F.lit((perf_counter() - began) * 1e6 / max(n, 1)))
