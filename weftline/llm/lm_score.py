@@ -15,7 +15,7 @@ from weftline.llm.common import WordHashes, gram_hashes, pack, pack_integers, pa
 from weftline.plans.stages import Stages
 
 #: Bytes of text in a block, and those whose n-grams one part of the count tables holds, on average.
-BLOCK, PART = 6 << 20, 24 << 20
+BLOCK, PART = 6 << 20, 8 << 20
 _OWN = -1
 _ROW = "block string, part int, data binary, counts binary"
 
@@ -57,7 +57,7 @@ def backoff_scores(docs: DataFrame, *, order=3, alpha=0.4, leave_out=True, id_co
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART))
     sent = rows.mapInArrow(partial(_send, order=order, parts=parts), _ROW)
-    totals = sent.repartition(max(width, parts), "part").sortWithinPartitions("part").mapInArrow(_add, _ROW)
+    totals = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_add, _ROW)  # a task for each part
     own = rows.mapInArrow(_own, _ROW)
     met = own.unionByName(totals).repartition(max(width, parts), "block").sortWithinPartitions("block", "part")
     scored = stages.write(
