@@ -9,6 +9,7 @@ columns.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,19 @@ class Stages:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame._weftline_stage)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clear(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Deletes the folders of runs that were last written to so long ago; returns how many.
+
+    Results are lazy and may read a run's tables until they are written, so a
+    cluster calls this for runs that are over.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    before, gone = (time.time() - older_than_hours * 3600) * 1000, 0
+    for status in files.listStatus(path):
+        if status.getPath().getName().startswith("weftline-") and status.getModificationTime() <= before:
+            files.delete(status.getPath(), True)
+            gone += 1
+    return gone
