@@ -54,6 +54,21 @@ def test_adjacency_round_trip(spark, tmp_path):
     assert {tuple(r) for r in back.edges.collect()} == {(1, 2, 5), (2, 1, 5), (2, 4, 7)}
 
 
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    """Spark reads the largest file first, whatever the names."""
+    (tmp_path / "a").mkdir()
+    for k, lines in enumerate(["4 1\n", "1 1 5\n2 0 5 3 7\n", "2 0 111111111111111 1 222222222222222\n", "0\n"]):
+        (tmp_path / "a" / f"part-0000{k}").write_text(lines)
+    back = text.read_adjacency(spark, str(tmp_path / "a"))
+    assert (back.vertices, back.source) == (4, 2)
+    assert {tuple(r) for r in back.edges.collect()} == {(1, 2, 5), (2, 1, 5), (2, 4, 7), (3, 1, 111111111111111), (3, 2, 222222222222222)}
+    (tmp_path / "q").mkdir()
+    for k, lines in enumerate(["3 4\n", "1 2\n10 11\n", "5 6\n"]):
+        (tmp_path / "q" / f"part-0000{k}").write_text(lines)
+    pairs = text.read_query_pairs(spark, str(tmp_path / "q"))
+    assert sorted(map(tuple, pairs.collect())) == [(0, 3, 4), (1, 1, 2), (2, 10, 11), (3, 5, 6)]
+
+
 def test_result_lines(spark, tmp_path):
     d = spark.createDataFrame([(2, None), (1, 0)], "v long, d long")
     assert [r.line for r in text.distance_lines(d).orderBy("v").collect()] == ["1 0", "2 10000000"]

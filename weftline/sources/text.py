@@ -17,6 +17,16 @@ def _tokens() -> Column:
     return F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
 
 
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, t): the tokens of the lines that are not blank, numbered from 0 by file, block and place in it: Spark reads large files first."""
+    from weftline.operators.ordering import rank
+
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.where(F.trim("value") != "").select("file", "start", "at", _tokens().alias("t"))
+    return rank(lines, F.col("file"), F.col("start"), F.col("at"), name=name, start=0).select(name, "t")
+
+
 def synth_weight(bound: int = 3):
     """A weight from 1 to ``bound`` for an edge (src, dst) that has none."""
     noise = pseudo(F.abs(F.col("src")) * 31 + F.abs(F.col("dst")), 5) % 100
@@ -66,11 +76,8 @@ def read_unweighted(spark: SparkSession, path: str) -> DataFrame:
 
 def read_query_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(qid, src, dst): a pair a line, numbered by place in the file."""
-    from weftline.operators.ordering import rank
-
-    rows = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.select("at", F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"))
-    return rank(rows, F.col("at"), name="qid", start=0).select("qid", "src", "dst")
+    t = F.col("t")
+    return _numbered(spark, path, "qid").select("qid", t[0].cast("long").alias("src"), t[1].cast("long").alias("dst"))
 
 
 @dataclass
@@ -84,10 +91,7 @@ class AdjacencyFile:
 
 def read_adjacency(spark: SparkSession, path: str) -> AdjacencyFile:
     """Header ``V s`` and then, for each vertex in order, ``deg (neighbour weight)*``; ids in the file begin with 0."""
-    from weftline.operators.ordering import rank
-
-    lines = spark.read.text(path).where(F.trim("value") != "").select(_tokens().alias("t"), F.monotonically_increasing_id().alias("at"))
-    lines = rank(lines, F.col("at"), name="v", start=0)  # the header is line 0, vertex i is line i
+    lines = _numbered(spark, path, "v")  # the header is line 0, vertex i is line i
     head = lines.where("v = 0").first()
     if head is None:
         raise ValueError(f"{path} is empty")
