@@ -131,6 +131,58 @@ def test_counters_of_searches(spark, local):
     assert rows(found, "qid", "labels", "rounds") == {k: synchronous(known, s, t) for k, s, t in q}
 
 
+def shortest(known, source):
+    """Distances from a vertex, by Dijkstra's algorithm."""
+    import heapq
+
+    d, heap = {}, [(0, source)]
+    while heap:
+        x, v = heapq.heappop(heap)
+        if v not in d:
+            d[v] = x
+            for s, t, w in known:
+                if s == v:
+                    heapq.heappush(heap, (x + w, t))
+    return d
+
+
+def test_searches_that_meet(spark, monkeypatch):
+    """Distances, joining vertices and paths as of plain searches, with ties, hubs, bounds and ends that nothing joins."""
+    from weftline.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "HUB", 8)
+    known = [tuple(r) for r in gen.directed(spark, 40, 90, seed=1).withColumn("w", F.col("w") % 4 + 1).collect()]
+    known += [(1, k, 3) for k in range(2, 30)] + [(k, k + 1, 1) for k in range(100, 104)] + [(5, 100, 2)]
+    edges = spark.createDataFrame(known, EDGE).persist()
+    pairs = [(k, 1 + k, 40 - 3 * k) for k in range(12)] + [(12, 7, 7), (13, 104, 1), (14, 1, 104), (15, 777, 777), (16, 1, 777), (17, None, None)]
+    q = spark.createDataFrame(pairs, "qid long, src long, dst long").persist()
+    distance, joining, walks = {}, {}, {}
+    for k, s, t in pairs:
+        there, back = shortest(known, s), shortest([(b, a, w) for a, b, w in known], t)
+        distance[k] = None if s is None else there.get(t)
+        on = [v for v in there if v in back and there[v] + back[v] == distance[k]]
+        joining[k] = (distance[k], min(on) if on and s is not None else None)
+        walk = [t] if distance[k] is not None else []
+        while walk and walk[0] != s:
+            walk = [min(a for a, b, w in known if b == walk[0] and a in there and there[a] + w == there[b]), *walk]
+        walks[k] = (distance[k], walk)
+    assert rows(p2p.bidirectional(edges, q), "qid", "distance", "joining_vertex") == joining
+    assert rows(p2p.paths(edges, q), "qid", "distance", "path") == walks
+    close = [(k, s, t, None if distance[k] is None else distance[k] + k % 3 - 1) for k, s, t in pairs]
+    tight = spark.createDataFrame(close, "qid long, src long, dst long, bound long")
+    short = {k: None if k % 3 == 0 else d for k, d in distance.items()}  # every third bound is less than the distance
+    assert rows(p2p.distance(edges, q, both=False), "qid", "distance") == distance
+    assert rows(p2p.distance(edges, tight), "qid", "distance") == short
+
+
+def test_searches_that_meet_reach_little_of_the_graph(spark):
+    from weftline.plans.fixpoint import Meeting
+
+    edges = gen.directed(spark, 3000, seed=3).persist()
+    q = spark.createDataFrame([(k, 10 + k, 2990 - k, None) for k in range(8)], "qid long, src long, dst long, bound long")
+    assert Meeting(edges, q).labels.count() < 8 * 3000 / 4
+
+
 def test_strategies_and_their_times(spark, tiny):
     q = spark.createDataFrame([(0, 1, 4), (1, 4, 1)], "qid long, src long, dst long")
     for name in p2p.STRATEGIES:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions.hashing import pseudo
 from weftline.operators.graph import in_degree, out_degree, top_degree
 from weftline.operators.ordering import rank
-from weftline.plans.fixpoint import search
+from weftline.plans.fixpoint import Meeting, search
 from weftline.plans.stages import Stages
 
 #: Degree pools of the stratified workloads, (out pool, in pool, first from which) by choice (fixed values).
@@ -68,47 +68,58 @@ def _forward(queries: DataFrame) -> DataFrame:
     )
 
 
-def distance(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
-    """(qid, src, dst, distance) by search from the source; a column ``bound`` of the queries prunes it."""
-    found = search(edges, _forward(queries), local_edges=local_edges).select(F.col("q").alias("qid"), F.col("v").alias("dst"), F.col("d").alias("distance"))
-    return queries.select("qid", "src", "dst").join(found, ["qid", "dst"], "left").select("qid", "src", "dst", "distance")
+def distance(edges: DataFrame, queries: DataFrame, *, both=True, local_edges=0) -> DataFrame:
+    """(qid, src, dst, distance) by searches from both ends that stop where they meet, or from the source alone; a column ``bound`` of the queries prunes them."""
+    if local_edges and both:
+        return bidirectional(edges, queries, local_edges=local_edges).select("qid", "src", "dst", "distance")
+    if local_edges:
+        found = search(edges, _forward(queries), local_edges=local_edges).select(F.col("q").alias("qid"), F.col("v").alias("dst"), F.col("d").alias("distance"))
+        return queries.select("qid", "src", "dst").join(found, ["qid", "dst"], "left").select("qid", "src", "dst", "distance")
+    found = Meeting(edges, _bounded(queries), both=both).distances().withColumnRenamed("q", "qid")
+    return queries.select("qid", "src", "dst").join(found, "qid", "left")
+
+
+def _on_paths(edges: DataFrame, queries: DataFrame, local_edges) -> DataFrame:
+    """(q, v, d): every vertex of every shortest path, and its distance from the source."""
+    if not local_edges:
+        return Meeting(edges, _bounded(queries)).on_paths()
+    null = F.lit(None).cast("long").alias("target")
+    there, back = (
+        _bounded(queries).select(F.col("qid").alias("q"), F.lit(side).alias("dir"), F.col(end).alias("v"), F.lit(0).cast("long").alias("d"), "bound", null)
+        for side, end in enumerate(("src", "dst"))
+    )
+    # every vertex of a shortest path keeps both labels
+    labels = search(edges, there.unionByName(back), meet=True, local_edges=local_edges)
+    both = labels.groupBy("q", "v").agg(F.sum("d").alias("sum"), F.min(F.when(F.col("dir") == 0, F.col("d"))).alias("d"), F.count("*").alias("n")).where("n = 2")
+    both = Stages(edges.sparkSession).write(both)
+    return both.join(both.groupBy("q").agg(F.min("sum").alias("sum")), ["q", "sum"]).select("q", "v", "d")
 
 
 def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
-    """(qid, src, dst, distance, joining_vertex) by search from both ends.
-
-    Every vertex of a shortest path keeps both labels, so the joining vertex is
-    the smallest vertex of all shortest paths.
-    """
-    there = _forward(queries)
-    back = _bounded(queries).select(
-        F.col("qid").alias("q"), F.lit(1).alias("dir"), F.col("dst").alias("v"), F.lit(0).cast("long").alias("d"),
-        "bound", F.lit(None).cast("long").alias("target"),
-    )
-    labels = search(edges, there.withColumn("target", F.lit(None).cast("long")).unionByName(back), meet=True, local_edges=local_edges)
-    sums = labels.groupBy("q", "v").agg(F.sum("d").alias("d"), F.count("*").alias("n")).where("n = 2")
-    best = sums.groupBy(F.col("q").alias("qid")).agg(F.min(F.struct("d", "v")).alias("m"))
-    return queries.select("qid", "src", "dst").join(best, "qid", "left").select(
-        "qid", "src", "dst", F.col("m.d").alias("distance"), F.col("m.v").alias("joining_vertex")
-    )
+    """(qid, src, dst, distance, joining_vertex) by search from both ends; the joining vertex is the smallest of all shortest paths."""
+    on = _on_paths(edges, queries, local_edges)
+    ends = queries.select("qid", "src", "dst")
+    best = on.groupBy(F.col("q").alias("qid")).agg(F.max("d").alias("distance"), F.min("v").alias("joining_vertex"))
+    return ends.join(best, "qid", "left")
 
 
 def bounds_of(edges: DataFrame, queries: DataFrame, k: int = 4, *, local_edges=0) -> DataFrame:
     """``upper_bound`` by k landmarks, staged; distances from and to all of them are one search."""
     marks = landmarks(edges, k)
-    null = F.lit(None).cast("long")
-    seeds = marks.select(
-        F.col("landmark").alias("q"), F.explode(F.array(F.lit(0), F.lit(1))).alias("dir"), F.col("landmark").alias("v"),
-        F.lit(0).cast("long").alias("d"), null.alias("bound"), null.alias("target"),
-    )
-    labels = search(edges, seeds, local_edges=local_edges).select(F.col("q").alias("landmark"), "v", F.col("d").alias("dist"), "dir")
-    return Stages(edges.sparkSession).write(upper_bound(queries, labels.where("dir = 1"), labels.where("dir = 0")))
+    if local_edges:
+        lm_in, lm_out = landmark_in(edges, marks, local_edges=local_edges), landmark_out(edges, marks, local_edges=local_edges)
+    else:
+        at = F.col("landmark")
+        ends = marks.select(at.alias("qid"), at.alias("src"), at.alias("dst"), F.lit(None).cast("long").alias("bound"))
+        labels = Meeting(edges, ends, meet=False).everywhere()
+        lm_in, lm_out = (labels.where(f"{side} is not null").select(F.col("q").alias("landmark"), "v", F.col(side).alias("dist")) for side in ("b", "f"))
+    return Stages(edges.sparkSession).write(upper_bound(queries, lm_in, lm_out))
 
 
 def with_bounds(edges: DataFrame, queries: DataFrame, k: int = 4, *, both=True, bounds: DataFrame | None = None, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance, bound): landmark bounds first, unless they are given, then the search that they prune."""
     bounds = bounds_of(edges, queries, k, local_edges=local_edges) if bounds is None else bounds
-    found = bidirectional(edges, bounds, local_edges=local_edges) if both else distance(edges, bounds, local_edges=local_edges)
+    found = distance(edges, bounds, both=both, local_edges=local_edges)
     return found.join(bounds.select("qid", "bound"), "qid").select("qid", "src", "dst", "distance", "bound")
 
 
@@ -116,13 +127,13 @@ def paths(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> DataFrame:
     """(qid, src, dst, distance, path array<long>): of the shortest paths the one that, seen from the
     destination, always comes from the smallest predecessor. [src] if src = dst, empty if there is none.
 
-    Jumps of 1, 2, 4 ... steps back are made by doubling over the predecessors of
-    all vertices that the searches labelled; from the longest to the shortest,
-    each doubles the known places of the paths. So the rounds grow with the
-    logarithm of the longest path.
+    Searches from both ends find the vertices of all shortest paths. Jumps of
+    1, 2, 4 ... steps back are made by doubling over the predecessors of these;
+    from the longest to the shortest, each doubles the known places of the paths.
+    So the rounds that gather paths grow with the logarithm of the longest.
     """
     stages = Stages(edges.sparkSession)
-    labels = stages.write(search(edges, _forward(queries), local_edges=local_edges).select("q", "v", "d"))
+    labels = _on_paths(edges, queries, local_edges)
     ends = queries.select(F.col("qid").alias("q"), "src", F.col("dst").alias("v")).join(labels, ["q", "v"])
     tight = (
         labels.select("q", F.col("v").alias("src"), F.col("d").alias("d_src"))
@@ -210,7 +221,7 @@ def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k:
     if bounded:
         found = with_bounds(edges, queries, k, both=both, bounds=bounds, local_edges=local_edges)
     else:
-        found = (bidirectional if both else distance)(edges, queries, local_edges=local_edges)
+        found = distance(edges, queries, both=both, local_edges=local_edges)
     return found.select("qid", "src", "dst", "distance")
 
 
