@@ -343,3 +343,21 @@ def test_packing_is_the_tightest_compatible(items):
         want.append((row, (lengths[row] - n) // 10, lengths[row] - n, n, k, b[3]))
         b[3] += 1
     assert got == want
+
+
+def test_shared_shingles_by_ranges(monkeypatch):
+    """Large sets are compared by ranges of values, each of which takes little memory, and counts are those of whole sets."""
+    import numpy as np
+
+    from weftline.llm import jaccard_join
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 300, 250, 7, 380, 90)]
+    a, b = (np.tile(x, 2) for x in np.triu_indices(6, 1))
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    most, add = [], jaccard_join._add_shared
+    monkeypatch.setattr(jaccard_join, "SHARE", 64)
+    monkeypatch.setattr(jaccard_join, "_add_shared", lambda some, total: (most.append(sum(map(len, some))), add(some, total)))
+    assert jaccard_join.intersections(sets, a, b).tolist() == want
+    assert max(most) < 300 and sum(most) == sum(map(len, sets))
