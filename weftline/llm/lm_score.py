@@ -15,7 +15,7 @@ from weftline.llm.common import WordHashes, gram_hashes, pack, pack_integers, pa
 from weftline.plans.stages import Stages
 
 #: Bytes of text in a block, and those whose n-grams one part of the count tables holds, on average.
-BLOCK, PART = 6 << 20, 8 << 20
+BLOCK, PART = 8 << 20, 8 << 20
 _OWN = -1
 _ROW = "block string, part int, data binary, counts binary"
 
