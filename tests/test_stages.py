@@ -9,3 +9,11 @@ def test_staged_tables_are_dropped_and_cleared(spark):
     clear(spark, older_than_hours=1)
     assert two.count() == 4  # too young
     assert clear(spark, older_than_hours=-1) >= 1
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.range(1000).count()
+    before = blocks.getAllFiles().size()
+    assert Stages(spark).write(spark.range(1000).repartition(3, "id")).count() == 1000
+    assert blocks.getAllFiles().size() <= before + 2  # of the count

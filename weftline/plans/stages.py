@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Spark deletes the shuffle files of a query when it ends.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,10 +41,15 @@ class Stages:
         self._count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
-        """``df`` written out and read again."""
+        """``df`` written out and read again; shuffles on the way leave no files."""
         self._count += 1
         path = f"{self.folder}/{self._count}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANS, "false")
+        self.spark.conf.set(_CLEANS, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANS, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weftline_stage = path
         return out
