@@ -75,7 +75,7 @@ def distance(edges: DataFrame, queries: DataFrame, *, both=True, local_edges=0)
     if local_edges:
         found = search(edges, _forward(queries), local_edges=local_edges).select(F.col("q").alias("qid"), F.col("v").alias("dst"), F.col("d").alias("distance"))
         return queries.select("qid", "src", "dst").join(found, ["qid", "dst"], "left").select("qid", "src", "dst", "distance")
-    found = Meeting(edges, _bounded(queries), both=both).distances().withColumnRenamed("q", "qid")
+    found = Meeting(edges, _bounded(queries), both=both, kept=False).distances()
     return queries.select("qid", "src", "dst").join(found, "qid", "left")
 
 
@@ -225,15 +225,30 @@ def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k:
     return found.select("qid", "src", "dst", "distance")
 
 
+def _together(edges: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(qid, src, dst, strategy, distance) by one search of all queries, once for each strategy."""
+    asks = None
+    for name, (both, bounded) in STRATEGIES.items():
+        bound = F.col("bound") if bounded else F.lit(None).cast("long").alias("bound")
+        part = bounds.select("qid", "src", "dst", F.lit(name).alias("strategy"), F.lit(both).alias("both"), bound)
+        asks = part if asks is None else asks.unionByName(part)
+    found = Meeting(edges, asks, both="both", kept=False, keys=("qid", "strategy")).distances()
+    return asks.select("qid", "src", "dst", "strategy").join(found, ["qid", "strategy"], "left").select("qid", "src", "dst", "strategy", "distance")
+
+
 def batch(edges: DataFrame, queries: DataFrame, k: int = 4, *, timed=False, local_edges=0) -> DataFrame:
     """(qid, src, dst, strategy, distance): every query by every strategy.
 
-    Bounds are found once for the strategies that use them. ``timed`` adds
+    Bounds are found once for the strategies that use them. The searches of all
+    strategies are searches of their own that share rounds. ``timed`` adds
     micros, what a query took on average without its bound: all queries of a
-    strategy advance together, so they are timed together.
+    strategy advance together, so they are timed together, one strategy after
+    another.
     """
-    n, out = queries.count() if timed else 0, None
     bounds = bounds_of(edges, queries, k, local_edges=local_edges)
+    if not timed and not local_edges:
+        return _together(edges, bounds)
+    n, out = queries.count() if timed else 0, None
     for name in STRATEGIES:
         began = perf_counter()
         part = solve(edges, queries, name, k, bounds=bounds, local_edges=local_edges).select("qid", "src", "dst", F.lit(name).alias("strategy"), "distance")
