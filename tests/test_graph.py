@@ -196,6 +196,29 @@ def test_strategies_of_a_batch_share_their_rounds(spark, monkeypatch):
     assert all(r.agree for r in p2p.strategies_agree(found).collect())
 
 
+def test_rounds_of_searches_share_writes(spark, monkeypatch):
+    """A way of 40 steps, in graphs with and without hubs, takes fewer staged writes than half its steps, of which each end goes half."""
+    from weftline.plans import fixpoint
+
+    made = []
+    monkeypatch.setattr(fixpoint.Stages, "write", lambda *a, of=fixpoint.Stages.write, **b: made.append(1) or of(*a, **b))
+    known = [(k, k + 1, 1) for k in range(40)] + [(20, 100 + k, 1) for k in range(10)]
+    edges = spark.createDataFrame(known, EDGE).persist()
+    q = spark.createDataFrame([(0, 0, 40), (1, 40, 0), (2, 0, 109), (3, 7, 7)], "qid long, src long, dst long")
+    for hub in (fixpoint.HUB, 4):
+        monkeypatch.setattr(fixpoint, "HUB", hub)
+        made.clear()
+        assert rows(p2p.distance(edges, q), "qid", "distance") == {0: 40, 1: None, 2: 21, 3: 0}
+        assert len(made) < 18
+
+
+@pytest.mark.parametrize("long", [9_000, 40_000, 3 * 10**12])
+def test_searches_of_long_edges(spark, long):
+    edges = spark.createDataFrame([(1, 2, long), (2, 3, 5), (3, 4, long), (1, 4, 2 * long + 6), (4, 5, 1)], EDGE).persist()
+    q = spark.createDataFrame([(0, 1, 5), (1, 2, 4), (2, 5, 1)], "qid long, src long, dst long")
+    assert rows(p2p.bidirectional(edges, q), "qid", "distance", "joining_vertex") == {0: (2 * long + 6, 1), 1: (long + 5, 2), 2: (None, None)}
+
+
 def test_searches_keep_a_row_for_each_vertex(spark):
     from weftline.plans.fixpoint import Meeting
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions.hashing import pseudo
 from weftline.operators.graph import in_degree, out_degree, top_degree
 from weftline.operators.ordering import rank
-from weftline.plans.fixpoint import Meeting, search
+from weftline.plans.fixpoint import Meeting, Parts, search
 from weftline.plans.stages import Stages
 
 #: Degree pools of the stratified workloads, (out pool, in pool, first from which) by choice (fixed values).
@@ -103,15 +103,15 @@ def bidirectional(edges: DataFrame, queries: DataFrame, *, local_edges=0) -> Dat
     return ends.join(best, "qid", "left")
 
 
-def bounds_of(edges: DataFrame, queries: DataFrame, k: int = 4, *, local_edges=0) -> DataFrame:
-    """``upper_bound`` by k landmarks, staged; distances from and to all of them are one search."""
+def bounds_of(edges: DataFrame, queries: DataFrame, k: int = 4, *, parts: Parts | None = None, local_edges=0) -> DataFrame:
+    """``upper_bound`` by k landmarks, staged; distances from and to all of them are one search, in ``parts`` if the edges were dealt out."""
     marks = landmarks(edges, k)
     if local_edges:
         lm_in, lm_out = landmark_in(edges, marks, local_edges=local_edges), landmark_out(edges, marks, local_edges=local_edges)
     else:
         at = F.col("landmark")
         ends = marks.select(at.alias("qid"), at.alias("src"), at.alias("dst"), F.lit(None).cast("long").alias("bound"))
-        labels = Meeting(edges, ends, meet=False).everywhere()
+        labels = Meeting(parts or edges, ends, meet=False).everywhere()
         lm_in, lm_out = (labels.where(f"{side} is not null").select(F.col("q").alias("landmark"), "v", F.col(side).alias("dist")) for side in ("b", "f"))
     return Stages(edges.sparkSession).write(upper_bound(queries, lm_in, lm_out))
 
@@ -225,14 +225,17 @@ def solve(edges: DataFrame, queries: DataFrame, strategy: str = "both ends", k:
     return found.select("qid", "src", "dst", "distance")
 
 
-def _together(edges: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(qid, src, dst, strategy, distance) by one search of all queries, once for each strategy."""
-    asks = None
+def _together(edges: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, src, dst, strategy, distance) by one search of all queries, once for each strategy; the edges are dealt out once."""
+    ends = queries.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("v")).where("v is not null").distinct()
+    parts, asks = Parts(edges, ends, len(STRATEGIES) * queries.count()), None
+    bounds = bounds_of(parts.edges, queries, k, parts=parts)
     for name, (both, bounded) in STRATEGIES.items():
         bound = F.col("bound") if bounded else F.lit(None).cast("long").alias("bound")
         part = bounds.select("qid", "src", "dst", F.lit(name).alias("strategy"), F.lit(both).alias("both"), bound)
         asks = part if asks is None else asks.unionByName(part)
-    found = Meeting(edges, asks, both="both", kept=False, keys=("qid", "strategy")).distances()
+    found = Meeting(parts, asks, both="both", kept=False, keys=("qid", "strategy")).distances()
+    parts.close()
     return asks.select("qid", "src", "dst", "strategy").join(found, ["qid", "strategy"], "left").select("qid", "src", "dst", "strategy", "distance")
 
 
@@ -245,9 +248,9 @@ def batch(edges: DataFrame, queries: DataFrame, k: int = 4, *, timed=False, loca
     strategy advance together, so they are timed together, one strategy after
     another.
     """
-    bounds = bounds_of(edges, queries, k, local_edges=local_edges)
     if not timed and not local_edges:
-        return _together(edges, bounds)
+        return _together(edges, queries, k)
+    bounds = bounds_of(edges, queries, k, local_edges=local_edges)
     n, out = queries.count() if timed else 0, None
     for name in STRATEGIES:
         began = perf_counter()

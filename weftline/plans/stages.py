@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 #: Spark deletes the shuffle files of a query when it ends.
 _CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ADAPTS = "spark.sql.adaptive.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,16 +41,19 @@ class Stages:
         self.folder = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
         self._count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """``df`` written out and read again; shuffles on the way leave no files."""
+    def write(self, df: DataFrame, adaptive: bool = True) -> DataFrame:
+        """``df`` written out and read again; shuffles on the way leave no files. Not ``adaptive``: planned once, for many small stages."""
         self._count += 1
         path = f"{self.folder}/{self._count}"
-        before = self.spark.conf.get(_CLEANS, "false")
-        self.spark.conf.set(_CLEANS, "true")
+        settings = {_CLEANS: "true"} | ({} if adaptive else {_ADAPTS: "false"})
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANS, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weftline_stage = path
         return out
